@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
-from corvane.llm.common import table
+from corvane.llm import decontaminate, mixing, simhash
+from corvane.llm.common import UPPER, table
+
+LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,72 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOW}, '{decontaminate.WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOW}, '{decontaminate.WORD}') AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram
+        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN lens ON len(w) >= n),
+grams AS (SELECT rid, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram FROM pos),
+hit AS (SELECT rid, p, grams.n, item FROM grams JOIN win USING (gram)),
+cover AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mix_round(k: int) -> str:
+    """One pass over the ranked documents: the longest prefix of those that still fit."""
+    return f"""
+n{k} AS (SELECT sk, need{"" if k == 0 else f" - used"} AS need FROM {"goal" if k == 0 else f"n{k - 1} JOIN (SELECT sk, sum(CASE WHEN extra AND NOT was THEN size ELSE 0 END) AS used FROM r{k - 1} GROUP BY sk) USING (sk)"}),
+m{k} AS (SELECT rid, sk, doc_id, size, q, {"FALSE" if k == 0 else "extra"} AS was, need, {"TRUE" if k == 0 else "NOT extra"} AND size <= need AND need > 0 AS may FROM {"ranked" if k == 0 else f"(SELECT * EXCLUDE (need, was, may) FROM r{k - 1})"} JOIN n{k} USING (sk)),
+r{k} AS (SELECT *, was OR (may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY sk ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= need) AS extra FROM m{k})"""
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS sk,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+    FROM documents),
+src AS (SELECT sk, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk, source),
+rnk AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM src),
+wgt AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) AS s FROM rnk),
+lvl AS (SELECT *, CAST(1.5 AS DOUBLE) * sum(s) OVER () AS budget,
+    row_number() OVER o AS k,
+    coalesce(sum(CAST(2 AS DOUBLE) * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unfilled
+    FROM wgt WINDOW o AS (ORDER BY (CAST(2 AS DOUBLE) * s) / weight, rank)),
+lv2 AS (SELECT *, (budget - filled) / unfilled AS level FROM lvl),
+lv3 AS (SELECT arg_min(level, k) AS found FROM lv2 WHERE level <= CAST(2 AS DOUBLE) * s / weight),
+tgt AS (SELECT sk, source_size, s, least(CAST(2 AS DOUBLE) * s, coalesce(found, CAST('inf' AS DOUBLE)) * weight) AS target FROM lv2, lv3),
+gl0 AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM tgt),
+gl1 AS (SELECT *, target - whole * s AS need FROM gl0),
+goal AS (SELECT *, CASE WHEN s > 0 THEN (need / s) / (1 - need / s) ELSE 0 END AS odds FROM gl1),
+ranked AS (SELECT rid, sk, doc_id, size, CASE WHEN odds > 0 THEN (u / (1 - u)) / odds ELSE CAST('inf' AS DOUBLE) END AS q FROM d JOIN goal USING (sk)),
+{",".join(_mix_round(k) for k in range(mixing.ROUNDS))}
+SELECT r.doc_id, r.size, g.source_size, g.target, CAST((g.whole + CASE WHEN r.extra THEN 1 ELSE 0 END) * r.size AS BIGINT) AS taken
+FROM r{mixing.ROUNDS - 1} r JOIN goal g USING (sk)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_benchmark_decontamination": OP9_SQL,
+    "op10_source_mixing": OP10_SQL,
+}
