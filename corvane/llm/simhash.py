@@ -241,34 +241,59 @@ def links(distinct: DataFrame, max_run: int = 16384) -> DataFrame:
     return pairs.unionByName(met.mapInArrow(stars, "a long, b long"))
 
 
+def _stars(large: bool):
+    """One star step over rows (x, y, changed) sorted by x and y, in constant memory for any number of neighbours.
+
+    A row's first y is the least neighbour of x. The large step hangs every
+    greater neighbour on the least node around; the small step hangs x and all
+    its (smaller) neighbours on the least of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_x = last_y = least = None
+        for batch in batches:
+            x, y, changed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(x):
+                continue
+            new = np.r_[last_x is None or x[0] != last_x, x[1:] != x[:-1]]
+            fresh = new | np.r_[last_y is None or y[0] != last_y, y[1:] != y[:-1]]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
+            m = np.where(at >= 0, y[at], 0 if least is None else least)
+            last_x, last_y, least = x[-1], y[-1], m[-1]
+            if large:
+                m = np.minimum(x, m)
+                keep = fresh & (y > x)
+                out = y[keep], m[keep], (changed | (m != x))[keep]
+            else:
+                moved = fresh & (y != m)
+                out = np.r_[x[new], y[moved]], np.r_[m[new], m[moved]], np.r_[changed[new], np.ones(moved.sum(), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "y", "changed"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, by alternating large-star and small-star rounds.
 
-    Both steps aggregate a minimum (combined before the shuffle) and join it
-    back on the node; each round is written to the shared folder, so lineage
-    stays one round deep.
+    Each step is one shuffle and one sorted pass; each round is written to the
+    shared folder, so lineage stays one round deep.
     """
+    schema = "x long, y long, changed boolean"
 
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / 2**32)).first())
-
-    def norm(e: DataFrame) -> DataFrame:
-        return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    def step(rows: DataFrame, large: bool) -> DataFrame:
+        return rows.repartition("x").sortWithinPartitions("x", "y").mapInArrow(_stars(large), schema)
 
-    now = materialise(norm(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "cc")
-    seen = digest(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = norm(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        nxt = materialise(norm(small), "cc")
-        discard(now)
-        now, last, seen = nxt, seen, digest(nxt)
-        if seen == last:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.lit(False).alias("changed")).where("x <> y")
+    old = None
+    while True:
+        calm = now.withColumn("changed", F.lit(False))
+        both = calm.select(F.explode(F.array(F.struct("x", "y", "changed"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "changed"))).alias("e")).select("e.*")
+        now = materialise(step(step(both, True), False), "cc")
+        if old is not None:
+            discard(old)
+        old = now
+        if not now.agg(F.max("changed")).first()[0]:
+            return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_run: int = 16384) -> DataFrame:
@@ -283,8 +308,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_run: int = 16384) ->
     fps = materialise(fingerprints(docs, shingle), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(distinct, max_run))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    joined = materialise(joined, "roots")
-    ids = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id")
+    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = materialise(linked.select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
