@@ -147,20 +147,24 @@ def predict(texts: list[str | None], names: list[str], protos: np.ndarray) -> tu
     return [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], [float(x) if s else 0.0 for x, s in zip(score, some, strict=True)]
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``.
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the predicted language and its score as two more columns (of the given names).
 
     ``und`` with score 0 for a text that is null or has no letter, and for all
-    texts if nothing could be learned. Only doc_id and text are read; doc_id
-    decides held_out and nothing else.
+    texts if nothing could be learned. Only the text is read for a prediction.
     """
     names, protos = model
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = predict(batch.column(1).to_pylist(), names, protos)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def of(text: pa.Array) -> pa.Array:
+        lang, value = predict(text.to_pylist(), names, protos)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64())], ["lang", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    return out.select("doc_id", held_out(MOD, REST).alias("held_out"), "lang_pred", "score")
+    found = docs.withColumn("__lang", of(F.col("text")))
+    return found.select(*[found[c] for c in docs.columns], F.col("__lang.lang").alias(name), F.col("__lang.score").alias(score))
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of ``docs``; doc_id decides held_out and nothing else."""
+    found = with_language(docs.select("doc_id", "text"), model, "lang_pred", "score")
+    return found.select("doc_id", held_out(MOD, REST).alias("held_out"), "lang_pred", "score")

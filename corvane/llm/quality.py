@@ -10,7 +10,6 @@ projection.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -64,16 +63,15 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics, for every row of ``docs``."""
+def with_statistics(docs: DataFrame, struct: str = "__stats") -> DataFrame:
+    """``docs`` with a struct of the statistics of its texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = list(zip(*map(statistics, batch.column(1).to_pylist()), strict=True)) or [()] * len(STATISTICS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", *STATISTICS])
+    @F.arrow_udf("struct<" + ", ".join(f"{s}: double" for s in STATISTICS) + ">")
+    def of(text: pa.Array) -> pa.Array:
+        cols = list(zip(*map(statistics, text.to_pylist()), strict=True)) or [()] * len(STATISTICS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], list(STATISTICS))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.withColumn(struct, of(F.col("text")))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -152,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """
     ids = labelled_ids(labels, "quality", MOD, REST, train_rows)
     bounded = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most about train_rows ids
-    rows = with_statistics(bounded).join(F.broadcast(ids), "doc_id").select("doc_id", "y", *STATISTICS).collect()
+    rows = with_statistics(bounded).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "__stats.*").collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), 2 + len(STATISTICS))
     y, x = (data[:, 1] > 0).astype(float), data[:, 2:]
     if not len(y):
@@ -164,22 +162,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(intercept, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
-def score(model: Model) -> Column:
+def score(model: Model, struct: str = "__stats") -> Column:
     """The model as a Spark column over the statistics."""
     z = F.lit(model.intercept)
     for rule, weight in model.rules:
         holds = F.lit(True)
         for name, op, value in rule:
-            holds &= F.col(name) <= value if op == "<=" else F.col(name) > value
+            x = F.col(f"{struct}.{name}")
+            holds &= x <= value if op == "<=" else x > value
         z += F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+def with_score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the score as one more column. A null or empty text has all statistics zero and is scored like any other."""
+    found = with_statistics(docs)
+    return found.select(*[found[c] for c in docs.columns], score(model).alias(name))
 
-    A null or empty text has all statistics zero and is scored like any other.
-    Only doc_id and text are read; doc_id decides held_out and nothing else.
-    """
-    scored = with_statistics(docs).select("doc_id", held_out(MOD, REST).alias("held_out"), score(model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def classify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; doc_id decides held_out and nothing else."""
+    scored = with_score(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", held_out(MOD, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -313,3 +313,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_run: int = 16384) ->
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = linked.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 4, max_run: int = 16384) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest doc_id, all columns as they were.
+
+    Of several rows with that id the smallest by all columns stays. Rows
+    without an id can't be named by a component and all stay.
+    """
+    named = docs.where("doc_id is not null")
+    least = near_duplicates(named, shingle, max_run).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = named.join(least, named["doc_id"] == least["__id"]).select(*[named[c] for c in docs.columns])
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.min(row).alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id is null"))
