@@ -103,8 +103,8 @@ def _squeezed(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '[{W}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-LABEL = f"list_filter(list_transform(flatten(list_transform(string_split(name, '>'), x -> string_split(x, ':'))), x -> {_squeezed('x')}), x -> x <> '')"
-KEY = "list_transform({}, x -> regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))"
+LABEL = f"list_filter(list_transform(flatten(list_transform(string_split(name, '>'), lambda x: string_split(x, ':'))), lambda x: {_squeezed('x')}), lambda x: x <> '')"
+KEY = "list_transform({}, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))"
 GROUPS = [*LINES, *_parsed("label", KEY.format("label"), LABEL)]
 INSIGHTS = [*LINES, *_parsed("name", "lower(name)", _squeezed("name"))]
 TRIMMED = [
@@ -187,7 +187,7 @@ def estimate_tokens(spark, sf_dir):
 
 _REPETITIVE = [
     "wl AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9#.+-]+') AS w FROM documents)",
-    "sh AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), i -> array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM wl) GROUP BY doc_id, g) GROUP BY doc_id)",
+    "sh AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM wl) GROUP BY doc_id, g) GROUP BY doc_id)",
     "rep AS (SELECT doc_id, len(w) >= 120 AND (len(list_distinct(w)) / len(w) < 0.18 OR coalesce(k, 0) >= 12) AS repetitive FROM wl LEFT JOIN sh USING (doc_id))",
 ]
 
@@ -239,7 +239,7 @@ def mark_sentences(spark, sf_dir):
     return tokens.mark_sentences(docs, tokens.hard_sentences(docs))
 
 
-_MARKED_WORDS = rf"mw AS (SELECT doc_id, l, coalesce(array_to_string(list_transform(l, (x, i) -> '{{' || (i - 1) || '}} ' || x), ' '), '') AS tagged_text FROM (SELECT doc_id, regexp_extract_all(text, '[^{W}]+') AS l FROM documents))"
+_MARKED_WORDS = rf"mw AS (SELECT doc_id, l, coalesce(array_to_string(list_transform(l, lambda x, i: '{{' || (i - 1) || '}} ' || x), ' '), '') AS tagged_text FROM (SELECT doc_id, regexp_extract_all(text, '[^{W}]+') AS l FROM documents))"
 
 
 @query(with_sql([_MARKED_WORDS], "SELECT doc_id, tagged_text, CAST(len(l) AS BIGINT) AS n_items FROM mw"))
@@ -259,13 +259,11 @@ def sentence_signal_kind(spark, sf_dir):
 
 
 def _violations(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Documents, and how many of their words no span of ``rows`` has, or more than one."""
-    words = tokens.sentence_counts(docs_of(spark, sf_dir)).select("doc_id")
-    n = F.size(F.regexp_extract_all("text", F.lit(rf"[^{W}]+"), F.lit(0)))
+    """Documents, and how many of their characters (but white space and separator glyphs) no span of ``rows`` has, or more than one."""
+    n = F.length(F.regexp_replace("text", f"[{W}·•|]", ""))
     per = rows.groupBy("doc_id").agg(F.sum(n).alias("k"))
     whole = docs_of(spark, sf_dir).select("doc_id", n.alias("w"))
-    out = words.join(whole, "doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", (F.coalesce("k", F.lit(0)) - F.col("w")).cast("long").alias("violations"))
+    return whole.join(per, "doc_id", "left").select("doc_id", (F.coalesce("k", F.lit(0)) - F.col("w")).cast("long").alias("violations"))
 
 
 _NONE = "SELECT doc_id, CAST(0 AS BIGINT) AS violations FROM documents"
@@ -460,12 +458,12 @@ def gap_fastpath(spark, sf_dir):
 _CONTEXT = [
     *HOLES,
     "pend AS (SELECT doc_id, idx, -1 AS side, prev_gi AS g FROM res WHERE owner IS NULL UNION ALL SELECT doc_id, idx, 1, next_gi FROM res WHERE owner IS NULL)",
-    r"ot AS (SELECT oo.doc_id, oo.gi, oo.idx AS at, text, oo.idx - row_number() OVER (PARTITION BY oo.doc_id, oo.gi ORDER BY oo.idx) AS run, regexp_matches(text, '^[\p{Cc}\p{Cf}\p{M}\p{Z}]*$') AS trash FROM oo JOIN sent USING (doc_id, idx))",
-    "nr AS (SELECT p.doc_id, p.idx, p.side, at, text, run, row_number() OVER w AS rank, first_value(run) OVER w AS first FROM pend p JOIN ot ON p.doc_id = ot.doc_id AND p.g = ot.gi AND (at - p.idx) * side > 0 AND NOT trash WINDOW w AS (PARTITION BY p.doc_id, p.idx, p.side ORDER BY abs(at - p.idx)))",
+    r"ot AS (SELECT oo.doc_id, oo.gi, oo.idx AS at_, text, oo.idx - row_number() OVER (PARTITION BY oo.doc_id, oo.gi ORDER BY oo.idx) AS run, regexp_matches(text, '^[\p{Cc}\p{Cf}\p{M}\p{Z}]*$') AS trash FROM oo JOIN sent USING (doc_id, idx))",
+    "nr AS (SELECT p.doc_id, p.idx, p.side, at_, text, run, row_number() OVER w AS rank, first_value(run) OVER w AS first FROM pend p JOIN ot ON p.doc_id = ot.doc_id AND p.g = ot.gi AND (at_ - p.idx) * side > 0 AND NOT trash WINDOW w AS (PARTITION BY p.doc_id, p.idx, p.side ORDER BY abs(at_ - p.idx)))",
 ]
 
 
-@query(with_sql(_CONTEXT, "SELECT doc_id, idx, side, string_agg(text, chr(10) ORDER BY at) AS context FROM nr WHERE run = first AND rank <= 3 GROUP BY doc_id, idx, side"))
+@query(with_sql(_CONTEXT, "SELECT doc_id, idx, side, string_agg(text, chr(10) ORDER BY at_) AS context FROM nr WHERE run = first AND rank <= 3 GROUP BY doc_id, idx, side"))
 def gap_context(spark, sf_dir):
     pending = resolved_of(spark, sf_dir).where("owner is null")
     return gaps.context(pending, gaps.ownership(groups_of(spark, sf_dir)), sentences_of(spark, sf_dir))
@@ -617,8 +615,16 @@ def html_strip_parser(spark, sf_dir):
 
 # --- keywords ------------------------------------------------------------------
 
-_SPANS = [*SENTENCES[:2], "wd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, s AS a, s + k AS z FROM t2 WHERE NOT isws)", *_KEYWORDS,
-    "ks AS (SELECT kx.doc_id, CAST(f.a AS INTEGER) AS a, CAST(l.z AS INTEGER) AS z FROM kx JOIN wd f ON f.doc_id = kx.doc_id AND f.idx = kx.s JOIN wd l ON l.doc_id = kx.doc_id AND l.idx = kx.e)"]
+def _offset(upto: str) -> str:
+    """Code points before a word, from the tokens (words and white space by turns) before it."""
+    return f"CAST(coalesce(list_sum(list_transform(l[1:{upto}], lambda x: length(x))), 0) AS INTEGER)"
+
+
+_SPANS = [
+    *_KEYWORDS,
+    rf"kt AS (SELECT doc_id, l, CASE WHEN regexp_matches(l[1], '^[{W}]') THEN 1 ELSE 0 END AS ws FROM (SELECT doc_id, regexp_extract_all(text, '[{W}]+|[^{W}]+') AS l FROM documents))",
+    f"ks AS (SELECT doc_id, s, e, {_offset('2 * s + ws')} AS a, {_offset('2 * e + ws + 1')} AS z FROM kx JOIN kt USING (doc_id))",
+]
 
 
 def keyword_spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,7 +637,7 @@ def keyword_spans(spark, sf_dir):
     return keyword_spans_of(spark, sf_dir)
 
 
-_FREE = [*_SPANS, "fw AS (SELECT doc_id, idx FROM wd WHERE NOT EXISTS (SELECT 1 FROM ks WHERE ks.doc_id = wd.doc_id AND wd.z > ks.a AND wd.a < ks.z))"]
+_FREE = [*_SPANS, "fw AS (SELECT w.doc_id, w.idx FROM (SELECT doc_id, unnest(range(0, n)) AS idx FROM kn) w LEFT JOIN kx USING (doc_id) GROUP BY w.doc_id, w.idx HAVING NOT coalesce(bool_or(w.idx BETWEEN s AND e), FALSE))"]
 
 
 @query(with_sql([*_FREE, f"fr AS ({runs_sql('fw', 'doc_id')})"], "SELECT doc_id, ri, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM fr WHERE e - s + 1 >= 20"))
@@ -639,7 +645,7 @@ def keyword_gaps(spark, sf_dir):
     return keywords.gaps(tokens.word_tokens(docs_of(spark, sf_dir)), keyword_spans_of(spark, sf_dir), 20)
 
 
-@query(with_sql([*_FREE, f"fr AS ({runs_sql('fw', 'doc_id')})", "nk AS (SELECT fr.doc_id, CAST(a AS INTEGER) AS a, CAST(z AS INTEGER) AS z FROM fr JOIN wd ON wd.doc_id = fr.doc_id AND wd.idx = fr.s WHERE e - s + 1 >= 20)", "al AS (SELECT * FROM ks UNION ALL SELECT * FROM nk)"], 'SELECT doc_id, a AS start, z AS "end", substr(text, a + 1, z - a) AS text FROM al JOIN documents USING (doc_id)'))
+@query(with_sql([*_FREE, f"fr AS ({runs_sql('fw', 'doc_id')})", f"nk AS (SELECT doc_id, {_offset('2 * s + ws')} AS a, {_offset('2 * s + ws + 1')} AS z FROM fr JOIN kt USING (doc_id) WHERE e - s + 1 >= 20)", "al AS (SELECT doc_id, a, z FROM ks UNION ALL SELECT doc_id, a, z FROM nk)"], 'SELECT doc_id, a AS start, z AS "end", substr(text, a + 1, z - a) AS text FROM al JOIN documents USING (doc_id)'))
 def keyword_merge(spark, sf_dir):
     """The first word of every long gap becomes a keyword."""
     docs = docs_of(spark, sf_dir)

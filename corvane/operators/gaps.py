@@ -80,17 +80,19 @@ def context(pending: DataFrame, owned: DataFrame, sentences: DataFrame, size: in
     Walking away from the sentence, the first stretch of the group counts, and
     it ends where another owner follows; sentences without content are passed over.
     """
-    owned = owned.withColumnRenamed("idx", "at").withColumnRenamed("gi", "owner")
-    texts = owned.join(sentences.select("doc_id", F.col("idx").alias("at"), "text"), ["doc_id", "at"]).withColumn("trash", is_trash(F.col("text")))
-    order = Window.partitionBy("doc_id", "owner").orderBy("at")
-    runs = texts.withColumn("run", F.col("at") - F.row_number().over(order))
+    texts = owned.join(sentences.select("doc_id", "idx", "text"), ["doc_id", "idx"]).withColumn("text", F.when(~is_trash(F.col("text")), F.col("text")))
+    order = Window.partitionBy("doc_id", "gi").orderBy("idx")
+    runs = texts.withColumn("run", F.col("idx") - F.row_number().over(order)).where("text is not null")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    runs = runs.groupBy("doc_id", "gi", "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), listed.alias("t"))
+    # A run lies on one side of a sentence in a hole, so its ends are all that is ever shown of it.
+    tail = F.array_join(F.slice("t", F.greatest(F.size("t") - size + 1, F.lit(1)), F.lit(size)), "\n")
+    runs = runs.select("doc_id", F.col("gi").alias("owner"), "lo", "hi", tail.alias("tail"), F.array_join(F.slice("t", 1, size), "\n").alias("head"))
     sides = pending.select("doc_id", "idx", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("prev_gi").alias("owner")), F.struct(F.lit(1).alias("side"), F.col("next_gi").alias("owner")))).alias("x"))
-    sides = sides.select("doc_id", "idx", "x.side", "x.owner").where("owner is not null")
-    near = sides.join(runs.where("not trash"), ["doc_id", "owner"]).where("(at - idx) * side > 0").withColumn("away", F.abs(F.col("at") - F.col("idx")))
-    by_side = Window.partitionBy("doc_id", "idx", "side")
-    near = near.withColumns({"first": F.min_by("run", "away").over(by_side), "rank": F.row_number().over(by_side.orderBy("away"))})
-    kept = near.where(F.col("run") == F.col("first")).where(F.col("rank") <= size)
-    return kept.groupBy("doc_id", "idx", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("context"))
+    near = sides.select("doc_id", "idx", "x.*").join(runs, ["doc_id", "owner"])
+    before = near.where("side < 0 and hi < idx").groupBy("doc_id", "idx", "side").agg(F.max_by("tail", "hi").alias("context"))
+    after = near.where("side > 0 and lo > idx").groupBy("doc_id", "idx", "side").agg(F.min_by("head", "lo").alias("context"))
+    return before.unionByName(after)
 
 
 PREFIX = (
