@@ -761,9 +761,9 @@ def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql([_RUNS], """SELECT label, count(*) AS n_runs, CAST(sum(CASE WHEN status = 'ok' THEN 0 ELSE 1 END) AS BIGINT) AS n_failed, sum(CASE WHEN status = 'ok' THEN 0 ELSE 1 END) / count(*) AS failure_rate,
-quantile_cont(elapsed_seconds, 0.5) FILTER (status = 'ok') AS p50, quantile_cont(elapsed_seconds, 0.95) FILTER (status = 'ok') AS p95, round(stddev_pop(elapsed_seconds) FILTER (status = 'ok'), 6) AS pstdev FROM rn GROUP BY label"""))
+quantile_cont(elapsed_seconds, 0.5) FILTER (status = 'ok') AS p50, round(quantile_cont(elapsed_seconds, 0.95) FILTER (status = 'ok'), 6) AS p95, round(stddev_pop(elapsed_seconds) FILTER (status = 'ok'), 6) AS pstdev FROM rn GROUP BY label"""))
 def latency_stats(spark, sf_dir):
-    return metrics.latency(runs_of(spark, sf_dir), "label").withColumn("pstdev", F.round("pstdev", 6))
+    return metrics.latency(runs_of(spark, sf_dir), "label").withColumns({"pstdev": F.round("pstdev", 6), "p95": F.round("p95", 6)})
 
 
 @query(with_sql([_RUNS], "SELECT document_id, quantile_cont(input_chars / elapsed_seconds, 0.5) AS chars_per_second FROM rn WHERE status = 'ok' AND elapsed_seconds > 0 GROUP BY document_id"))
