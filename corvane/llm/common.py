@@ -61,3 +61,12 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Tables of keys up to so many rows (some tens of bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_or_shuffled(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (a finished table of narrow rows) marked for broadcast if its row count, checked here, is within the bound."""
+    return F.broadcast(keys) if keys.count() <= rows else keys.hint("merge")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower
+from corvane.llm.common import ascii_lower, materialise, small_or_shuffled
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -105,10 +105,11 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "documents
     """
     bad = hits(docs, bench, n, **limits).where(F.size("places") > 0)
     marked = docs.withColumn("__mark", F.sha2(F.coalesce("text", F.lit("\u0000null")), 256))
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad"), F.col("places").alias("__places"))
+    bad = bad.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad"), *([F.col("places").alias("__places")] if mode != "documents" else []))
+    bad = materialise(bad, "contaminated")
     on = marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__mark"] == bad["__bad"])
     if mode == "documents":
-        return marked.join(bad, on, "left_anti").select(*docs.columns)
+        return marked.join(small_or_shuffled(bad), on, "left_anti").select(*docs.columns)
     joined = marked.join(bad, on, "left")
     parts = F.regexp_extract_all("text", F.lit(f"[^{GAP}]+[{GAP}]*"), F.lit(0))
     head = F.regexp_extract("text", f"^[{GAP}]*", 0)

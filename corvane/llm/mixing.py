@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import materialise, small_or_shuffled
 
 SLICES = 4096
 ROUNDS = 3
@@ -107,6 +107,6 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     that one of them has, so callers remove exact repeats first.
     """
     took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    took = took.groupBy("__id", "__u").agg(F.max("copies").alias("copies"))
+    took = materialise(took.groupBy("__id", "__u").agg(F.max("copies").alias("copies")), "took")
     keyed = docs.withColumn("__key", uniform(seed))
-    return keyed.join(took, keyed["doc_id"].eqNullSafe(took["__id"]) & (keyed["__key"] == took["__u"])).select(*[keyed[c] for c in docs.columns], "copies")
+    return keyed.join(small_or_shuffled(took), keyed["doc_id"].eqNullSafe(took["__id"]) & (keyed["__key"] == took["__u"])).select(*[keyed[c] for c in docs.columns], "copies")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import discard, materialise
+from corvane.llm.common import discard, materialise, small_or_shuffled
 
 SEGMENTS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -321,9 +321,16 @@ def representatives(docs: DataFrame, shingle: int = 4, max_run: int = 16384) ->
     Of several rows with that id the smallest by all columns stays. Rows
     without an id can't be named by a component and all stay.
     """
-    named = docs.where("doc_id is not null")
-    least = near_duplicates(named, shingle, max_run).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = named.join(least, named["doc_id"] == least["__id"]).select(*[named[c] for c in docs.columns])
+    found = materialise(near_duplicates(docs, shingle, max_run).select("doc_id", "component_id"), "found")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    kept = docs.join(small_or_shuffled(gone), docs["doc_id"] == gone["__id"], "left_anti")
+    # Only ids are shuffled, unless some id has several rows; then just those rows are compared.
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    twice = materialise(twice, "twice")
+    if twice.isEmpty():
+        return kept
+    several = small_or_shuffled(twice)
+    single = kept.join(several, kept["doc_id"] == twice["__id"], "left_anti")
     row = F.struct(*[F.col(c) for c in docs.columns])
-    one = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.min(row).alias("__row")).select("__row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    one = kept.join(several, kept["doc_id"] == twice["__id"], "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min(row).alias("__row"))
+    return single.unionByName(one.select("__row.*"))
