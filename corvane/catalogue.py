@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corvane.functions import stub
 from corvane.functions import text as fx
 from corvane.operators import cleaning, decisions, gaps, keywords, metrics, parsing, ranges, refine, tokens
+from corvane.plans import pipelines, rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -787,3 +788,64 @@ def corpus_mismatch(spark, sf_dir):
 @query(with_sql([_RUNS], "SELECT document_id, quantile_cont(elapsed_seconds, 0.5) FILTER (label = 'click') AS click, quantile_cont(elapsed_seconds, 0.5) FILTER (label = 'view') AS view FROM rn WHERE status = 'ok' GROUP BY document_id"))
 def compare_pivot(spark, sf_dir):
     return metrics.compare(runs_of(spark, sf_dir), ["click", "view"])
+
+
+# --- pipelines and cache ---------------------------------------------------------
+
+
+def _merged(source: str) -> list[str]:
+    return [
+        f"mk AS (SELECT *, {KEY.format('label')} AS key FROM {source})",
+        "mn AS (SELECT doc_id, key, arg_min(label, gi) AS label, min(s) AS first, min(gi) AS old FROM mk GROUP BY doc_id, key)",
+        "mg AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, old) - 1 AS INTEGER) AS gi FROM mn)",
+        "m1 AS (SELECT doc_id, key, s, e, max(e) OVER (PARTITION BY doc_id, key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mk)",
+        "m2 AS (SELECT *, sum(CASE WHEN s <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m1)",
+        "m3 AS (SELECT doc_id, key, CAST(isl - 1 AS INTEGER) AS ri, min(s) AS s, max(e) AS e FROM m2 GROUP BY doc_id, key, isl)",
+    ]
+
+
+@query(with_sql([*REPAIRED, *_merged("rp")], "SELECT doc_id, gi, ri, array_to_string(label, '>') AS label, s, e FROM m3 JOIN mg USING (doc_id, key)"))
+def topic_pipeline(spark, sf_dir):
+    return flat(pipelines.topic_pipeline(docs_of(spark, sf_dir)))
+
+
+@query(with_sql(INSIGHTS, "SELECT doc_id, gi, ri, name, s, e FROM grp"))
+def insight_pipeline(spark, sf_dir):
+    return pipelines.insight_pipeline(docs_of(spark, sf_dir))
+
+
+@query(with_sql(_SECTIONS, "SELECT doc_id, CAST(ri % 3 AS INTEGER) AS gi, CAST(row_number() OVER (PARTITION BY doc_id, ri % 3 ORDER BY ri) - 1 AS INTEGER) AS ri, 'Topic>Section ' || (ri % 3) AS label, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM sec"))
+def decision_pipeline(spark, sf_dir):
+    return flat(pipelines.decision_pipeline(docs_of(spark, sf_dir)))
+
+
+@query(ORACLE_SQL["keyword_merge"])
+def keyword_pipeline(spark, sf_dir):
+    return pipelines.keyword_pipeline(docs_of(spark, sf_dir), keyword_ranges_of(spark, sf_dir))
+
+
+_KEYED = "ck AS (SELECT conv_id, turn, text, sha256(concat_ws(chr(31), '1', role, 'm', 'v1', '0.0', text)) AS key FROM conversations)"
+
+
+@query(with_sql([_KEYED], "SELECT conv_id, turn, key FROM ck"))
+def cache_keys(spark, sf_dir):
+    return _keyed(spark, sf_dir).select("conv_id", "turn", "key")
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.withColumn("key", rounds.cache_key(F.col("role"), F.lit("m"), F.lit("v1"), F.col("text"), F.lit(0.0)))
+
+
+@query(with_sql([_KEYED], "SELECT DISTINCT key FROM ck WHERE key NOT IN (SELECT key FROM ck WHERE conv_id % 3 = 0)"))
+def cache_lookup(spark, sf_dir):
+    """Requests that a cache filled by a third of the conversations doesn't answer."""
+    rows = _keyed(spark, sf_dir)
+    cache = rows.where("conv_id % 3 = 0").select("key", F.col("text").alias("response"), F.lit(None).cast("string").alias("error"), F.col("turn").cast("double").alias("created_at"))
+    return rounds.lookup(rows, cache)[1].select("key")
+
+
+@query(with_sql([_KEYED], "SELECT key, max(conv_id * 1000 + turn) AS created_at FROM ck GROUP BY key"))
+def cache_upsert(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).select("key", F.col("text").alias("response"), (F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"))
+    return rounds.upserted(rows).select("key", "created_at")

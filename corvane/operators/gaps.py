@@ -14,12 +14,15 @@ from corvane.operators.parsing import gap_decision, new_topic
 from corvane.operators.ranges import from_indices, to_indices
 
 CONTEXT = 3
-_ORDER = Window.partitionBy("doc_id").orderBy("s", "e", "gi", "ri")
+
+def _order():
+    return Window.partitionBy("doc_id").orderBy("s", "e", "gi", "ri")
+
 
 
 def trimmed(groups: DataFrame) -> DataFrame:
     """Ranges in order of place, overlaps cut from the later one; ``expected`` is the first index not yet covered."""
-    reach = F.max("e").over(_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("e").over(_order().rowsBetween(Window.unboundedPreceding, -1))
     rows = groups.withColumn("expected", (F.coalesce(reach, F.lit(-1)) + 1).cast("long")).where("e >= expected")
     return rows.withColumn("s", F.greatest("s", "expected"))
 
@@ -45,16 +48,16 @@ def strict(groups: DataFrame, counts: DataFrame) -> DataFrame:
 
 def repair(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Holes filled from the range before them, a leading hole from the first range."""
-    nxt = F.lead("s").over(_ORDER)
+    nxt = F.lead("s").over(_order())
     rows = trimmed(groups).join(counts.select("doc_id", "n"), "doc_id")
-    first = F.row_number().over(_ORDER) == 1
+    first = F.row_number().over(_order()) == 1
     end = F.coalesce(nxt - 1, F.greatest("e", F.col("n") - 1))
     return rows.select("doc_id", "gi", "ri", "label", F.when(first, 0).otherwise(F.col("s")).cast("long").alias("s"), end.cast("long").alias("e"))
 
 
 def holes(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, s, e, prev_gi, next_gi: uncovered runs and the groups around them."""
-    rows = trimmed(groups).withColumn("before", F.lag("gi").over(_ORDER))
+    rows = trimmed(groups).withColumn("before", F.lag("gi").over(_order()))
     inner = rows.where("s > expected").select("doc_id", F.col("expected").alias("s"), (F.col("s") - 1).alias("e"), F.col("before").alias("prev_gi"), F.col("gi").alias("next_gi"))
     last = rows.groupBy("doc_id").agg(F.max_by(F.struct("e", "gi"), F.struct("s", "e")).alias("z"))
     tail = last.join(counts, "doc_id").where("z.e < n - 1").select("doc_id", (F.col("z.e") + 1).alias("s"), (F.col("n") - 1).alias("e"), F.col("z.gi").alias("prev_gi"), F.lit(None).cast("int").alias("next_gi"))

@@ -9,7 +9,10 @@ from corvane.functions.text import label_key
 from corvane.operators.parsing import boundary_shift, reassignment
 from corvane.operators.ranges import coalesce, from_indices, to_indices
 
-_BY_IDX = Window.partitionBy("doc_id").orderBy("idx")
+
+def _by_idx():
+    return Window.partitionBy("doc_id").orderBy("idx")
+
 
 
 def owners(groups: DataFrame) -> DataFrame:
@@ -18,7 +21,7 @@ def owners(groups: DataFrame) -> DataFrame:
 
 def boundaries(owned: DataFrame) -> DataFrame:
     """doc_id, idx, left_gi, right_gi: sentences after which the owner changes."""
-    rows = owned.select("doc_id", "idx", F.col("gi").alias("left_gi"), F.lead("gi").over(_BY_IDX).alias("right_gi"), F.lead("idx").over(_BY_IDX).alias("after"))
+    rows = owned.select("doc_id", "idx", F.col("gi").alias("left_gi"), F.lead("gi").over(_by_idx()).alias("right_gi"), F.lead("idx").over(_by_idx()).alias("after"))
     return rows.where("after = idx + 1 and left_gi <> right_gi").drop("after")
 
 
