@@ -1,0 +1,221 @@
+import io
+import random
+import zipfile
+
+import pytest
+
+import corpus_pipeline
+from corvane.llm import decontaminate, html_extract, language, licenses, mixing, quality, rules, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, score double"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, 0.5) for i, t, lang, src in rows], DOCS)
+
+
+# --- HTML ----------------------------------------------------------------------
+
+PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>x</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>T &amp; U</h1><p>Hello,   world &lt;b&gt; one<br>two <a href=x>link</a></p>
+<script>var a="</p>";</script><form><p>Sign up</p></form><p>More,\n text</p></article><section id="comments"><p>nice, very nice, really nice indeed</p></section><footer>f</footer>"""
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (PAGE, "T & U\n\nHello, world <b> one two link\n\nMore, text"), (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"),
+        ("<article><p>unclosed <b>tag", "unclosed tag"), ("<!-- open comment <p>x</p>", ""), ("<article>" + "<div>" * 500 + "deep", "deep"),
+    ],
+)
+def test_html(page, want):
+    assert html_extract.extract(page) == want
+
+
+def test_html_table(spark):
+    rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)]
+    out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted(r.n_chars for r in out) == [0, 48, 48] and all(r.n_chars == len(r.text) for r in out)
+
+
+# --- licenses ------------------------------------------------------------------
+
+
+def test_licenses():
+    n, n_base, first, last, base, labels, score, hits = licenses.scan("Licensed under CC BY 4.0. All rights reserved. CC-BY cc by")
+    assert (n, n_base, first, last, base) == (13, 4, 2, 11, "cc-by,reserved")
+    assert {"cc-by", "cc-by-4.0", "reserved"} <= set(labels.split(",")) and 0 < score <= 1
+    assert licenses.scan(None)[:7] == (0, 0, None, None, "", "", 0.0)
+    assert "gpl-3.0" in licenses.scan("the GNU General Public License, version 3")[5] and len(licenses.rules()) > 200
+
+
+def test_suppression_keeps_the_containing_detection():
+    a, b, c = licenses.Hit("long", 0, 9, 50, 1.0), licenses.Hit("inside", 2, 4, 50, 1.0), licenses.Hit("strong", 3, 5, 90, 1.0)
+    assert licenses.suppress([b, a, c]) == [a, c]
+
+
+# --- WARC ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_ranges(zip64):
+    raw = warc.zip_bytes([("a", b"hello"), ("b/c", b"")], b"\n", zip64)
+    z = warc.ZipRanges(lambda at, n: raw[at : at + n], len(raw))
+    assert z.range("a", 1, 3) == b"ell" and z.range("b/c", 0, 0) == b"" and zipfile.ZipFile(io.BytesIO(raw)).read("a") == b"hello"
+    with pytest.raises(ValueError, match="outside"):
+        z.range("a", 3, 9)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 600
+    rows = [(1, "http://a", big), (7, None, big), (3, "u\nv", big), (4, "x", "small"), (5, "x", "small"), (6, "y", None), (None, "z", big), (7, None, big)]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int")
+    out = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, str(tmp_path / "w")).collect()), key=str)
+    want = [(1, 1200, "revisit", 7), (3, 1200, "revisit", 7), (4, 5, "response", None), (5, 5, "response", None), (6, 0, "response", None), (7, 1200, "response", None), (7, 1200, "response", None), (None, 1200, "revisit", 7)]
+    assert out == sorted(want, key=str)
+    path = next((tmp_path / "w").rglob("*.txt"))
+    assert warc.DATA in warc.open_ranges(str(path)).members
+    assert warc.round_trip(pages.limit(0), str(tmp_path / "e")).count() == 0
+
+
+# --- language, quality, toxicity -------------------------------------------------
+
+VOCABULARY = {"aa": "the that with from which house", "bb": "über schön nicht für straße haus", "cc": "où été français être maison"}
+
+
+def corpus(n=160):
+    rng = random.Random(3)
+    return [(i, " ".join(rng.choice(VOCABULARY[lang].split()) for _ in range(30)), lang, "s") for i in range(n) for lang in [sorted(VOCABULARY)[i % 3]]]
+
+
+def test_language(spark):
+    rows = [*corpus(), (900, None, None, None), (901, "12 !!", "aa", None), (None, "the house", None, None)]
+    d = docs(spark, rows)
+    out = {r.doc_id: r for r in language.identify(d, language.train(d)).collect()}
+    truth = {i: lang for i, _, lang, _ in corpus()}
+    assert sum(out[i].lang_pred == lang for i, lang in truth.items()) >= 0.95 * len(truth)
+    assert out[900].lang_pred == out[901].lang_pred == "und" and out[900].score == 0 and 0 <= out[0].score <= 1
+    empty = language.train(d.limit(0))
+    assert {r.lang_pred for r in language.identify(d, empty).collect()} == {"und"}
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    good = [" ".join(rng.choice("alpha beta gamma delta, epsilon. Zeta".split()) for _ in range(40)) for _ in range(120)]
+    rows = [(i, t if i % 2 else t.replace(" ", "%%% "), "x", "s") for i, t in enumerate(good)]
+    d = docs(spark, [*rows, (500, None, None, None), (501, "", None, None)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.classify(d, quality.fit(d, labels)).collect()}
+    assert all(out[i].predicted == i % 2 for i in range(120)) and 0 <= out[500].score == out[501].score <= 1
+    assert {r.score for r in quality.classify(d, quality.fit(d, labels.limit(0))).collect()} == {0.5}
+
+
+def test_kernel_equals_brute_force():
+    from itertools import combinations
+
+    def brute(s, t):
+        pairs = ((a, b) for a in combinations(range(len(s)), 3) for b in combinations(range(len(t)), 3) if all(s[x] == t[y] for x, y in zip(a, b, strict=True)))
+        return sum(toxicity.DECAY ** (a[-1] - a[0] + b[-1] - b[0] + 2) for a, b in pairs)
+
+    items = [b"\0abcd", b"\0acbd", b"\0aa", b"\0aabbab", b"\0x"]
+    got = toxicity.kernel(items, items)
+    assert all(abs(got[i, j] - brute(a, b)) < 1e-4 for i, a in enumerate(items) for j, b in enumerate(items))
+    assert all(abs(x - got[i, i]) < 1e-4 for i, x in enumerate(toxicity._own(items)))
+
+
+def test_toxicity():
+    rng = random.Random(7)
+    words = "meadow harbor lantern silver copper winter garden window simple orange".split()
+    rows = []
+    for i in range(300):
+        t = [rng.choice(words) + rng.choice(["", "ing", "er", "s"]) for _ in range(30)]
+        if i % 3 == 0:
+            for _ in range(3):
+                t[rng.randrange(30)] = rng.choice(["blockhead", "numbskull"])
+        rows.append((" ".join(t), int(i % 3 == 0)))
+    model = toxicity.fit_rows(rows)
+    score = lambda *t: toxicity.scores(list(t), model, {})
+    clean, plain, spaced, inserted, empty, null = score("meadow harbor winter", "you blockhead, blockhead", "b l o c k h e a d and numbskull", "blockxhead block-head numb.skull", "", None)
+    assert plain >= 0.3 and spaced >= 0.3 and inserted >= 0.3 and max(clean, empty, null) < 0.3
+    assert len(set(toxicity.scores(["a", None], toxicity.fit_rows([]), {}))) == 1
+
+
+# --- rules ---------------------------------------------------------------------
+
+
+def test_rule_measures():
+    assert rules.measure(None) == (0,) * 8
+    text = "a b c d e\na b c d e\n#x $y !"
+    n, chars, symbols, dup, repeat, lines, upper, bangs = rules.measure(text)
+    assert (n, chars, symbols, dup, repeat, lines, upper, bangs) == (13, 15, 2, 1, 10, 3, 0, 1)
+
+
+def test_ablations(spark):
+    d = docs(spark, [(1, "x", "a", "s"), (2, "A% " * 20, "a", "s"), (3, " ".join(f"word{i}" for i in range(30)), "a", "s"), (4, None, None, None)])
+    rows = rules.ledger(d)
+    got = {r.rule: (r.n_failed, r.n_only) for r in rules.ablations(rows, "base").collect()}
+    assert got == {"few_words": (2, 2), "repeated_windows": (1, 1)}
+
+
+# --- benchmarks ----------------------------------------------------------------
+
+
+def brute_hits(text, items):
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, who = cut(text), set(), set()
+    for name, item in items:
+        v = cut(item)
+        n = min(10, len(v))
+        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                who.add(str(name))
+    return len(w), len(hit), len(who)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination_equals_brute_force(spark, limit):
+    words = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(words[:14])), (2, "Short One"), (3, " ".join(words[:14])), (4, None), (5, ""), (10, " ".join(words[30:41]))]
+    texts = [None, "", " ".join(words[:14]), "x, " + " ".join(words[:12]).upper() + " y short-one", " ".join(words[25:45]), "w1 w2 w3", "short one short one", " ".join(words)]
+    d = docs(spark, [(i, t, "a", "s") for i, t in enumerate(texts)] + [(7, texts[7], "a", "s")])
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.report(d, b, max_windows=limit).collect()
+    assert len(out) == 9 and all((r.n_words, r.n_hit, r.n_items) == brute_hits(texts[r.doc_id], items) for r in out)
+    kept = decontaminate.clean(d, b)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {0, 1, 5}
+    spans = {r.doc_id: r.text for r in decontaminate.clean(d, b, mode="spans").collect()}
+    assert spans[3] == "x, y " and spans[5] == "w1 w2 w3" and spans[0] is None
+    assert decontaminate.report(d, b.limit(0)).where("contaminated").count() == 0 and decontaminate.report(d.limit(0), b).count() == 0
+
+
+# --- mixing --------------------------------------------------------------------
+
+
+def test_mixing(spark):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randrange(0, 60), "x", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(1500)]
+    d = docs(spark, [*rows, (9999, None, None, "d")])
+    out = mixing.mix(d).collect()
+    by = {}
+    source = {i: s for i, _, _, s in rows} | {9999: "d"}
+    for r in out:
+        assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        t = by.setdefault(source[r.doc_id], [0, r.target, r.source_size])
+        t[0] += r.taken
+    assert all(abs(took - target) <= 30 and target <= 2 * size for took, target, size in by.values())
+    assert abs(sum(t for _, t, _ in by.values()) - 1.5 * sum(s for _, _, s in by.values())) < 1e-6
+    assert sorted(map(tuple, mixing.mix(d.repartition(7)).collect())) == sorted(map(tuple, out)) and mixing.mix(d.limit(0)).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert out.columns == [*source.columns, "copies"] and 0 < out.count() < source.count()
+    assert out.select("doc_id").distinct().count() == out.count() and [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "benchmarks", "mix"]
