@@ -61,7 +61,7 @@ busl-1.1 | business source license(?:(?: version)? 1 1)? | business source
 zlib | zlib license | zlib
 libpng | libpng license | libpng
 unlicense | (?:the )?unlicense | unlicense
-wtfpl | (?:wtfpl|do what the fuck you want to public license) | wtf
+wtfpl | (?:wtfpl|do what the fuck you want to public license) | wtf|what the fuck
 ofl-1.1 | sil open font license(?:(?: version)? 1 1)? | open font
 psf-2.0 | (?:python software foundation|psf) license(?:(?: version)? 2(?: 0)?)? | license
 php-3.01 | php license(?:(?: version)? 3 01)? | php
@@ -146,13 +146,13 @@ proprietary | 60 | 0.8 | proprietary | (?:proprietary and confidential|confident
 proprietary | 60 | 0.8 | prohibited | unauthorized (?:copying|reproduction|use|distribution)(?: or (?:copying|reproduction|use|distribution))? (?:of this file )?(?:\\S+ ){0,6}is (?:strictly )?prohibited
 proprietary | 50 | 0.7 | written permission | without (?:the )?(?:express |prior )*written permission
 non-commercial | 50 | 0.7 | commercial | (?:for )?(?:personal|educational|academic|research)?(?: and| or)? ?non ?commercial (?:use|purposes)(?: only)?
-no-redistribution | 50 | 0.7 | redistribut | (?:may|must) not be (?:reproduced|redistributed|republished|copied)
+no-redistribution | 50 | 0.7 | not be | (?:may|must) not be (?:reproduced|redistributed|republished|copied)
 permissive-notice | 30 | 0.5 | provided that | provided that the (?:above|original) copyright notice
 warranty-disclaimer | 30 | 0.5 | as is | provided as is (?:without|with no) (?:express or implied )?warrant(?:y|ies)
 fair-use | 30 | 0.5 | fair use | (?:constitutes |under )?fair use
-dmca | 30 | 0.5 | dmca | (?:dmca|digital millennium copyright act)
-tdm-reservation | 60 | 0.8 | text and data mining | (?:text and data mining|tdm) (?:rights |is |are )?(?:reserved|prohibited|not permitted)
-no-ai-training | 60 | 0.8 | training | (?:may not|must not|not) be used (?:for|to) (?:the )?(?:training|train) (?:of )?(?:ai|artificial intelligence|machine learning)
+dmca | 30 | 0.5 | dmca|digital millennium | (?:dmca|digital millennium copyright act)
+tdm-reservation | 60 | 0.8 | text and data mining|tdm | (?:text and data mining|tdm) (?:rights |is |are )?(?:reserved|prohibited|not permitted)
+no-ai-training | 60 | 0.8 | not be used | (?:may not|must not|not) be used (?:for|to) (?:the )?(?:training|train) (?:of )?(?:ai|artificial intelligence|machine learning)
 """.strip()
 
 
@@ -185,7 +185,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(label, priority + label.count("-"), confidence, keys, re.compile(f"(?<= ){prefix}(?:{body})(?= )")))
     for line in SENTENCES.splitlines():
         label, priority, confidence, keyword, body = (x.strip() for x in line.split(" | "))
-        out.append(Rule(label, int(priority), float(confidence), (keyword,), re.compile(f"(?<= )(?:{body.replace(chr(92) * 2, chr(92))})(?= )")))
+        out.append(Rule(label, int(priority), float(confidence), tuple(keyword.split("|")), re.compile(f"(?<= )(?:{body.replace(chr(92) * 2, chr(92))})(?= )")))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 

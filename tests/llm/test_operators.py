@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -54,6 +55,47 @@ def test_suppression_keeps_the_containing_detection():
     assert licenses.suppress([b, a, c]) == [a, c]
 
 
+def alternatives(tree):
+    """One text for every way through a parsed regular expression (optional parts with and without, repeats once or as often as needed)."""
+    out = [""]
+    for op, av in tree:
+        match str(op):
+            case "LITERAL":
+                ways = [chr(av)]
+            case "IN":
+                ways = [chr(v if str(k) == "LITERAL" else v[0]) if str(k) in ("LITERAL", "RANGE") else "x" for k, v in av]
+            case "BRANCH":
+                ways = [w for branch in av[1] for w in alternatives(branch)]
+            case "SUBPATTERN":
+                ways = alternatives(av[3])
+            case "MAX_REPEAT":
+                ways = [""] * (av[0] == 0) + [w * max(av[0], 1) for w in alternatives(av[2])]
+            case _:
+                ways = [""]
+        out = [a + w for a in out for w in ways]
+    return out
+
+
+def test_every_alternative_holds_a_keyword():
+    for r in licenses.rules():
+        texts = [f" {t.strip()} " for t in alternatives(re._parser.parse(r.pattern.pattern))]
+        assert all(any(k in t for k in r.keywords) for t in texts), r.label
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("may not be reproduced", "no-redistribution"), ("must not be republished", "no-redistribution"), ("may not be copied", "no-redistribution"), ("may not be redistributed", "no-redistribution"),
+        ("may not be used to train AI", "no-ai-training"), ("not be used for training of machine learning", "no-ai-training"), ("TDM rights reserved", "tdm-reservation"),
+        ("text and data mining prohibited", "tdm-reservation"), ("DMCA", "dmca"), ("Digital Millennium Copyright Act", "dmca"), ("do what the fuck you want to public license", "wtfpl"), ("WTFPL", "wtfpl"),
+    ],
+)
+def test_gated_detections_equal_ungated(text, label):
+    joined = licenses.words_of(f"This {text} here")[1]
+    ungated = {r.label for r in licenses.rules() if r.pattern.search(joined)}
+    assert label in ungated and label in {h.label for h in licenses.detect(joined)}
+
+
 # --- WARC ----------------------------------------------------------------------
 
 
