@@ -5,8 +5,10 @@ keeps the path of elements that hold it. A block gives points (one, one for
 every comma, up to three for its length), discounted by the share of its
 characters that stand in links, to its parent in full, to its grandparent by
 half, and to higher ancestors by a third, a quarter and so on. The element with
-the most points, discounted by its own link density, is the best container; it
-is kept together with those of its siblings that score well beside it. Menus,
+the most points, discounted by its own link density, is the best container. If
+it lies in an <article> or <main>, that is taken whole, and so is each further
+ancestor with few links and no furniture among its children. Beside it, headings,
+paragraphs, lists, quotes and tables are kept, and siblings that score well. Menus,
 page headers, footers, sidebars, notices, adverts, forms and reader comments
 give no points and are never kept.
 """
@@ -45,6 +47,9 @@ UNLIKELY = set(
 LIKELY = set("article body content entry hentry main page post story text blog".split())
 WEIGHT = {"article": 25.0, "main": 20.0}
 
+#: Elements that are text of the article when they stand beside it.
+PROSE = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl blockquote pre table figure details".split())
+
 _SKIP = "|".join(SKIPPED)
 _INSIDE = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
@@ -168,7 +173,8 @@ def extract(page: str | None) -> str:
     Broken markup, missing end tags and unclosed comments are read as far as
     they make sense; a text without any tag is one block.
     """
-    blocks = [(t, n) for t, n in _blocks(page or "") if not n.off and not _linkful(n)]
+    found = _blocks(page or "")
+    blocks = [(t, n) for t, n in found if not n.off and not _linkful(n)]
     nodes: dict[int, _Node] = {}
     for _, node in blocks:
         while node is not None and id(node) not in nodes:
@@ -181,14 +187,30 @@ def extract(page: str | None) -> str:
     def worth(n: _Node) -> float:
         return n.score * (1 - n.link / max(n.chars, 1))
 
+    def dense(n: _Node) -> float:
+        return n.link / max(n.chars, 1)
+
+    mixed = set()  # elements with furniture among their children
+    for _, n in found:
+        while n.parent is not None:
+            if (n.off and not n.parent.off) or (n.tag not in PROSE - {"ul", "ol"} and dense(n) >= 0.33):
+                mixed.add(id(n.parent))
+            n = n.parent
+
     best = max(ranked, key=worth)
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for tag in ("main", "article"):
+        best = next((n for n in reversed(above) if n.tag == tag), best)
+    while best.parent is not None and id(best.parent) not in mixed and dense(best.parent) < 0.25:
+        best = best.parent
     keep = {id(best)}
     if best.parent is not None and best.tag not in ("body", "html"):
         for n in nodes.values():
             if n.parent is best.parent and n is not best:
-                dense = n.link / max(n.chars, 1)
-                prose = n.tag == "p" and n.chars > 80 and dense < 0.25
-                if prose or (n.tag == best.tag and dense < 0.33 and worth(n) >= max(10.0, 0.2 * worth(best))):
+                prose = n.tag in PROSE and dense(n) < 0.33
+                if prose or (n.tag == best.tag and dense(n) < 0.33 and worth(n) >= max(10.0, 0.2 * worth(best))):
                     keep.add(id(n))
 
     def inside(n: _Node | None) -> bool:

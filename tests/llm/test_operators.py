@@ -39,6 +39,29 @@ def test_html_table(spark):
     assert sorted(r.n_chars for r in out) == [0, 48, 48] and all(r.n_chars == len(r.text) for r in out)
 
 
+LONG = "A sentence of the article, with commas, and with words enough to count, as real ones have. " * 4
+BODY = f"<p>Short lead.</p>{f'<p>{LONG}</p>' * 30}<h2>Part</h2><ul><li>one</li><li>two</li></ul><blockquote>Said.</blockquote><table><tr><td>cell</td></tr></table>"
+AROUND = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>{}<aside>Elsewhere</aside><footer>Imprint</footer>"
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        "<article><h1>Title</h1><div class='body'>{}</div><div><p>Last words.</p></div></article>",
+        "<article><h1>Title</h1><section>{}</section><section><h3>Small</h3><p>Last words.</p></section></article>",
+        "<main><h1>Title</h1><div><div>{}</div></div><p>Last words.</p></main>",
+        "<main><h1>Title</h1><article><div>{}</div></article><p>Last words.</p></main>",
+        "<div class='wrap'><div class='content'><h1>Title</h1><div>{}</div><section><p>Last words.</p></section></div></div>",
+        "<h1>Title</h1><div>{}</div><p>Last words.</p>",
+    ],
+)
+@pytest.mark.parametrize("around", [AROUND, "{}"])
+def test_nested_pages_keep_the_whole_article(shape, around):
+    out = html_extract.extract(f"<html><body>{around.format(shape.format(BODY))}</body></html>").split("\n\n")
+    want = ["Title", "Short lead.", *[LONG.strip()] * 30, "Part", "one", "two", "Said.", "cell", "Last words."]
+    assert [x for x in out if x != "Small"] == want and ("Small" in out) == ("Small" in shape)
+
+
 # --- licenses ------------------------------------------------------------------
 
 
