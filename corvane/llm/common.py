@@ -2,71 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.tables import BROADCAST_ROWS, Scratch, discard, materialise, scratch, shared_dir, small_or_shuffled, unused
+
+__all__ = ["BROADCAST_ROWS", "UPPER", "Scratch", "ascii_lower", "discard", "materialise", "scratch", "shared_dir", "small_or_shuffled", "table", "unused"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
-    return F.translate(col, UPPER, UPPER.lower())
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made, and set for the session.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    return base
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corvane-{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it again.
-
-    Spark's committers publish the files, so a lost executor costs only the
-    tasks that it was running, never a finished table.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corvane_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_corvane_path", None)
-    if path is not None:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-#: Tables of keys up to so many rows (some tens of bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def small_or_shuffled(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` (a finished table of narrow rows) marked for broadcast if its row count, checked here, is within the bound."""
-    return F.broadcast(keys) if keys.count() <= rows else keys.hint("merge")

@@ -1,14 +1,17 @@
 """Benchmark decontamination by a broadcast hash set of n-grams, in DataFrame functions only.
 
 A benchmark item gives one window for every ``n`` consecutive words, or one
-window if it has fewer. A document's own windows of those lengths are built
-inside the row, exploded, and looked up in the hash set; the key is the window
-text itself, so the hash table's equality test is the verification. Nothing
-but hits, and one row per document, is shuffled.
+window if it has fewer. A document's words are hashed once; its positions are
+exploded, and the 64-bit key of the window at each position is looked up in the
+broadcast hash set. Explode, key, lookup and the check that follows it are one
+generated loop over the document's arrays: no window is ever built as text,
+but for those whose key is in the set, which are compared word for word. Only
+hits, and one row per document, are shuffled.
 
 The hash set is broadcast only after its size has been measured (``max_windows``
 rows and ``max_bytes`` of text). Beyond that the same lookup runs as a shuffled
-join, which holds no side in memory.
+join, for those windows only whose key is in a bitmap of 2**30 bits (at most
+128 MB, broadcast).
 """
 
 from __future__ import annotations
@@ -20,29 +23,38 @@ from corvane.llm.common import ascii_lower, materialise, small_or_shuffled
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+BITS = 30
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), f"[{GAP}]+"), "")
 
 
-def windows(array: Column, n: int) -> Column:
-    """Space-joined windows of ``n`` words; empty if there are fewer words."""
-    last = F.size(array) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda p: F.array_join(F.slice(array, p, n), " "))).otherwise(F.array().cast("array<string>"))
+def hashes(array: Column) -> Column:
+    return F.transform(array, lambda w: F.xxhash64(w))
 
 
-def _placed(n: int):
-    return lambda gram, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), gram.alias("gram"))
+def window_key(hashed: Column, pos: Column, n: Column, most: int) -> Column:
+    """Key of the ``n`` (``most`` at most) words from ``pos``: a hash of their hashes."""
+    return F.xxhash64(*[F.when(n > k, F.get(hashed, pos + k)) for k in range(most)])
+
+
+def window_text(array: Column, pos: Column, n: Column) -> Column:
+    return F.array_join(F.slice(array, F.greatest(pos, F.lit(0)) + 1, n), " ")
 
 
 def benchmark_windows(bench: DataFrame, n: int = 10) -> DataFrame:
-    """(gram, n_gram, items): each different window once, with the sorted ids of its items."""
+    """(key, gram, n_gram, items): each different window once, with the sorted ids of its items."""
     w = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda p: F.array_join(F.slice(F.col("w"), p, length), " "))
-    rows = w.select("item", length.alias("n_gram"), F.explode(F.array_distinct(grams)).alias("gram"))
-    return rows.groupBy("gram", "n_gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = w.select("item", "w", hashes(F.col("w")).alias("h"), length.alias("n_gram"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("pos"))
+    rows = rows.select("item", "n_gram", window_key(F.col("h"), F.col("pos"), F.col("n_gram"), n).alias("key"), window_text(F.col("w"), F.col("pos"), F.col("n_gram")).alias("gram"))
+    return rows.groupBy("key", "gram", "n_gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _mark() -> Column:
+    """Tells rows with the same id and different texts apart."""
+    return F.xxhash64("text", F.col("text").isNull())
 
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = 10, max_windows: int = 1_000_000, max_bytes: int = 128 << 20) -> DataFrame:
@@ -51,23 +63,41 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = 10, max_windows: int = 1_00
     Columns: doc_id, mark (hash of the text), copies, n_words, places (array of
     struct<pos, n>, words counted from 0), items (sorted distinct item ids).
     """
-    grams = benchmark_windows(bench, n)
+    grams = materialise(benchmark_windows(bench, n), "windows")
     size = grams.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("gram") + 32 + 16 * F.size("items")), F.lit(0)).alias("bytes"), F.collect_set("n_gram").alias("lengths")).first()
     fits = size["rows"] <= max_windows and size["bytes"] <= max_bytes
-    base = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("\u0000null")), 256).alias("mark"), words(F.col("text")).alias("w"))
-    base = base.select("doc_id", "mark", "w", F.size("w").cast("long").alias("n_words"))
-    seeds = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("gram")))
-    parts = [seeds]
-    for k in sorted(size["lengths"]):
-        parts.append(F.transform(windows(F.col("w"), k), _placed(k)))
-    rows = base.select("doc_id", "mark", "n_words", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "mark", "n_words", "x.*")
-    side = grams.select("gram", "items")
-    joined = rows.join(F.broadcast(side) if fits else side.hint("merge"), "gram", "left")
-    found = joined.where("n = 0 or items is not null")
+    lengths = sorted(size["lengths"]) or [n]
+    most = lengths[-1]
+    base = docs.select("doc_id", _mark().alias("mark"), words(F.col("text")).alias("w"))
+    base = base.select("doc_id", "mark", "w", hashes(F.col("w")).alias("h"), F.size("w").alias("n_words"))
+    # Place -1 stands for the document itself, so that each has a row.
+    rows = base.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - lengths[0], F.lit(-1)))).alias("pos"))
+    rows = rows.select("*", F.lit(most).alias("n")) if len(lengths) == 1 else rows.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+    own = (F.col("pos") < 0) & (F.col("n") == most)
+    rows = rows.where(own | ((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.col("n_words"))))
+    rows = rows.withColumn("key", F.when(F.col("pos") >= 0, window_key(F.col("h"), F.col("pos"), F.col("n"), most)))
+    text = window_text(F.col("w"), F.col("pos"), F.col("n"))
+    side = grams.select(F.col("key").alias("b_key"), F.col("gram").alias("b_gram"), "items")
+    if fits:
+        # Two inequalities, because an equality would become a second join key, and the text would be built for every window.
+        same = (text <= F.col("b_gram")) & (text >= F.col("b_gram"))
+        joined = rows.join(F.broadcast(side), F.col("key") == F.col("b_key"), "left").where((F.col("pos") < 0) | (F.col("items").isNotNull() & same))
+    else:
+        bit = F.shiftrightunsigned("b_key", 64 - BITS)
+        bitmap = side.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+        at = F.shiftrightunsigned("key", 64 - BITS)
+        place = F.bitmap_bit_position(at)
+        byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("bucket"), "left")
+        rows = rows.where((F.col("pos") < 0) | (F.getbit(byte, (place % 8).cast("int")) == 1))
+        # Rows that stand for documents get keys that spread them.
+        rows = rows.select("doc_id", "mark", "n_words", "pos", "n", F.coalesce("key", F.xxhash64("doc_id", "mark")).alias("key"), F.when(F.col("pos") >= 0, text).alias("gram"))
+        joined = rows.join(side.hint("merge"), (F.col("key") == F.col("b_key")) & (F.col("gram") == F.col("b_gram")), "left")
+    found = joined.where("pos < 0 or items is not null")
     return found.groupBy("doc_id", "mark").agg(
-        F.sum((F.col("n") == 0).cast("long")).alias("copies"),
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("n") > 0, F.struct("pos", "n"))).alias("places"),
+        F.sum((F.col("pos") < 0).cast("long")).alias("copies"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "n"))).alias("places"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
@@ -99,25 +129,29 @@ def report(docs: DataFrame, bench: DataFrame, n: int = 10, **limits: int) -> Dat
 def clean(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "documents", **limits: int) -> DataFrame:
     """``docs`` without its contaminated documents, or (``mode="spans"``) without the hit words.
 
-    Columns and order of columns stay. In span mode a hit word goes together
+    Columns and order of columns stay, whatever their names. A row is known by
+    its id (null like any other) and text; repeated rows go or stay together. A
+    null or empty text stays as it is. In span mode a hit word goes together
     with the separators that follow it; ``n_chars``, where there is one, is
     counted anew for the texts that changed.
     """
+    mark, row = "__mark", "__row"
     bad = hits(docs, bench, n, **limits).where(F.size("places") > 0)
-    marked = docs.withColumn("__mark", F.sha2(F.coalesce("text", F.lit("\u0000null")), 256))
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad"), *([F.col("places").alias("__places")] if mode != "documents" else []))
     bad = materialise(bad, "contaminated")
-    on = marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__mark"] == bad["__bad"])
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(row), F.col("doc_id").alias("__doc"), _mark().alias(mark))
+    on = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__bad"))
     if mode == "documents":
-        return marked.join(small_or_shuffled(bad), on, "left_anti").select(*docs.columns)
-    joined = marked.join(bad, on, "left")
-    parts = F.regexp_extract_all("text", F.lit(f"[^{GAP}]+[{GAP}]*"), F.lit(0))
-    head = F.regexp_extract("text", f"^[{GAP}]*", 0)
-    gone = hit_words(F.col("__places"))
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    joined = joined.withColumn("__gone", gone)
-    new = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
+        return held.join(small_or_shuffled(bad), on, "left_anti").select(f"{row}.*")
+    joined = held.join(small_or_shuffled(bad), on, "left")
+    text = F.col(row)["text"]
+    parts = F.regexp_extract_all(text, F.lit(f"[^{GAP}]+[{GAP}]*"), F.lit(0))
+    head = F.regexp_extract(text, f"^[{GAP}]*", 0)
+    joined = joined.withColumn("__gone", hit_words(F.col("__places")))
+    left = F.array_except(F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), F.col("__gone"))
+    kept = F.transform(left, lambda i: F.get(parts, i))
+    new = F.when(F.col("__places").isNull(), text).otherwise(F.concat(head, F.array_join(kept, "")))
     changed = {"text": new}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("__places").isNull(), F.col(row)["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[changed.get(c, F.col(row)[c]).alias(c) for c in docs.columns])

@@ -1,15 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 Each source has a target number of words. Whole copies of all its documents
-that fit the target are certain. What is left is a fixed-size sample without
-replacement: documents are ranked by their Pareto variable, random odds over
-inclusion odds, and taken in that order until the words run out. Documents that
-would overshoot are passed over in two further rounds, in which the words still
-missing go to the next documents in the same order that fit them.
-
-A source can hold any share of all rows, so no source is ever sorted as a
-whole: a histogram of 4096 slices of the ranking variable is summed first, and
-only the slice in which the words run out is put in order, slice by slice.
+that fit the target are certain. What is left is drawn without replacement and
+with unequal odds: a document's inclusion probability grows with the number of
+binary digits of its size (long documents are likelier, by a bounded factor),
+scaled so that the expected words are the words left; documents whose
+probability would reach one are set aside as certain. Documents are ranked by
+their Pareto variable, random odds over inclusion odds, and taken in that order
+until the words run out. Documents that would overshoot are passed over in two
+further rounds, in which the words still missing go to the next documents in
+the same order that fit them.
+
+A source can hold any share of all rows, so none is ever sorted or shuffled:
+the ranking variable is cut into 4096 slices whose words are summed (combined
+before the shuffle), and only the one slice of a source in which the words run
+out is put in order. What a round decides is one row for each source, a
+threshold of the ranking, and the documents are compared with it where they are.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise, small_or_shuffled
+from corvane.llm.common import BROADCAST_ROWS, discard, materialise, small_or_shuffled, unused
 
 SLICES = 4096
 ROUNDS = 3
@@ -36,12 +42,18 @@ def uniform(seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
 
 
+def source_key() -> Column:
+    """The source as a key that is never null: no source is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(sk, source_size, target) from (sk, source, source_size), one row per source.
 
     Water filling: source i gets min(2 * size, level * weight). With sources in
     order of the level at which they fill up, the level is found from running
-    sums. The table has one row per source, which is what the single window holds.
+    sums. Its windows hold one narrow row (about 64 bytes) for each source, in
+    one task that can spill: fine for millions of sources, not for billions.
     """
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")
@@ -60,53 +72,107 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("sk", "source_size", F.least(CAP * F.col("s"), F.coalesce("found", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
+def digits(size: Column) -> Column:
+    """The measure of a document: how many binary digits its size has (63 at most)."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def inclusion(goal: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sk, scale): what a document's measure is multiplied with to give its inclusion probability (1 at most).
+
+    ``goal`` has (sk, need), ``classes`` (sk, digits, words), at most 63 rows a
+    source. The longest classes become certain, one after the other, as long as
+    the rest's scale takes them to probability one; then the expected words of
+    certain and other documents are the words needed.
+    """
+    down = Window.partitionBy("sk").orderBy(F.col("digits").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("sk").orderBy(F.col("digits").desc()).rowsBetween(0, Window.unboundedFollowing)
+    rows = classes.where("words > 0").join(goal.select("sk", "need"), "sk")
+    rows = rows.select("sk", "digits", ((F.col("need") - F.coalesce(F.sum("words").over(down), F.lit(0))) / F.sum(F.col("digits") * F.col("words")).over(rest)).alias("scale"))
+    open_classes = rows.where(F.col("scale") * F.col("digits") < 1)
+    return open_classes.groupBy("sk").agg(F.max_by("scale", "digits").alias("scale"))
+
+
+def _ranked(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` (sk, doc_id, u, size) with what their source decides, the Pareto variable q and its slice."""
+    odds = F.col("scale") * digits(F.col("size"))
+    odds = F.when(odds < 1, odds / (1.0 - odds)).otherwise(float("inf"))
+    q = F.when(F.col("need") > 0, (F.col("u") / (1.0 - F.col("u"))) / odds).otherwise(float("inf"))
+    out = rows.join(goal, "sk").withColumn("q", q)
+    return out.withColumn("slice", F.when(F.col("q") == float("inf"), SLICES).otherwise(F.floor(F.col("q") / (1.0 + F.col("q")) * SLICES)).cast("int"))
+
+
+def _taken(rounds: int) -> Column:
+    """Whether the first rounds take a row: it fits the words missing and lies before the round's threshold."""
+    out = F.lit(False)
+    for k in range(rounds):
+        before = F.coalesce(F.col("slice") < F.col(f"slice{k}"), F.lit(True))
+        at = (F.col("slice") == F.col(f"slice{k}")) & F.coalesce(F.struct("q", "doc_id", "size") <= F.col(f"cut{k}"), F.lit(False))
+        out |= (F.col("size") <= F.col(f"need{k}")) & (F.col(f"need{k}") > 0) & (before | at)
+    return out
+
+
+def plan(docs: DataFrame, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The documents' (sk, doc_id, u, size), and one row for each source: its targets, whole copies and thresholds."""
+    sized = materialise(docs.select("doc_id", "source", source_key().alias("sk"), word_count(F.col("text")).alias("size"), uniform(seed).alias("u")), "sized")
+    classes = materialise(sized.groupBy("sk", "source", digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("words")), "classes")
+    goal = targets(classes.groupBy("sk", "source").agg(F.sum("words").alias("source_size"))).withColumn("s", F.col("source_size").cast("double"))
+    goal = goal.withColumn("whole", F.when(F.col("s") > 0, F.floor(F.col("target") / F.col("s"))).otherwise(0.0).cast("long"))
+    goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("s"))
+    goal = materialise(goal.join(inclusion(goal, classes), "sk", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0))), "goal")
+    discard(classes)
+    rows = sized.drop("source")
+    now = goal.withColumn("need0", F.col("need"))
+    few = goal.count() <= BROADCAST_ROWS
+
+    def per_source(table: DataFrame) -> DataFrame:
+        """A table of one row for each source, as the side of a join."""
+        return F.broadcast(table) if few else table.hint("merge")
+
+    for k in range(ROUNDS):
+        open_rows = _ranked(rows, per_source(now)).where(~_taken(k) & (F.col("size") <= F.col(f"need{k}")) & (F.col(f"need{k}") > 0))
+        slices = open_rows.groupBy("sk", "slice", f"need{k}").agg(F.sum("size").alias("words"))
+        order = Window.partitionBy("sk").orderBy("slice")
+        slices = slices.withColumn("before", F.sum("words").over(order) - F.col("words"))
+        whole = F.sum(F.when(F.col("before") + F.col("words") <= F.col(f"need{k}"), F.col("words")).otherwise(0)).alias("used")
+        first = F.min(F.when(F.col("before") + F.col("words") > F.col(f"need{k}"), F.struct("slice", "before"))).alias("at")
+        ends = slices.groupBy("sk").agg(whole, first).select("sk", "used", F.col("at.slice").alias(f"slice{k}"), F.col("at.before").alias("before"))
+        # The running sum takes rows with equal keys together, so equal rows are taken together or not at all.
+        inside = Window.partitionBy("sk").orderBy("q", "doc_id", "size")
+        last = open_rows.join(per_source(ends), "sk").where(F.col("slice") == F.col(f"slice{k}"))
+        last = last.select("sk", "q", "doc_id", "size", "before", f"need{k}", F.sum("size").over(inside).alias("run")).where(F.col("before") + F.col("run") <= F.col(f"need{k}"))
+        cuts = last.groupBy("sk").agg(F.max(F.struct("q", "doc_id", "size")).alias(f"cut{k}"), F.max("run").alias("run"))
+        left = F.col(f"need{k}") - (F.coalesce("used", F.lit(0)) + F.coalesce("run", F.lit(0)))
+        new = now.join(ends.drop("before"), "sk", "left").join(cuts, "sk", "left").withColumn(f"need{k + 1}", left).drop("used", "run")
+        now, old = materialise(new, "goal"), now
+        discard(old)
+    discard(goal)
+    return rows, now
+
+
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, u, size, source_size, target, taken: one row for every row of ``docs``.
 
     ``taken`` is a whole multiple of ``size``: 0, 1 or 2 times. A null text has
     size 0; documents without a source form a source of their own, ordered last;
-    equal rows are interchangeable; an empty table gives no rows. Ties of the
-    ranking variable go by doc_id, then size. Other columns are not read.
+    equal rows are taken together or not at all; an empty table gives no rows.
+    Ties of the ranking variable go by doc_id, then size, nulls first. Other
+    columns are not read.
     """
-    sk = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = materialise(docs.select("doc_id", "source", sk.alias("sk"), word_count(F.col("text")).alias("size"), uniform(seed).alias("u")), "sized")
-    per_source = sized.groupBy("sk", "source").agg(F.sum("size").alias("source_size"))
-    goal = materialise(targets(per_source), "targets")
-    whole = F.when(F.col("s") > 0, F.floor(F.col("target") / F.col("s"))).otherwise(0.0)
-    goal = goal.withColumn("s", F.col("source_size").cast("double")).withColumn("whole", whole.cast("long"))
-    goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("s"))
-    goal = goal.withColumn("odds", F.when(F.col("s") > 0, (F.col("need") / F.col("s")) / (1.0 - F.col("need") / F.col("s"))).otherwise(0.0))
-    # The Pareto variable; within a source it rises with u, which slices can be cut from.
-    pareto = F.when(F.col("odds") > 0, (F.col("u") / (1.0 - F.col("u"))) / F.col("odds")).otherwise(F.lit(float("inf")))
-    rows = sized.join(goal.select("sk", "source_size", "target", "whole", "odds"), "sk").select(
-        "sk", "doc_id", "u", "size", "source_size", "target", "whole", pareto.alias("q"), F.floor(F.col("u") * SLICES).cast("int").alias("slice"), F.lit(False).alias("extra")
-    )
-    need = goal.select("sk", "need")
-    for k in range(ROUNDS):
-        open_rows = rows.join(need, "sk").withColumn("may", ~F.col("extra") & (F.col("size") <= F.col("need")) & (F.col("need") > 0))
-        by_slice = open_rows.where("may").groupBy("sk", "slice").agg(F.sum("size").alias("words"))
-        upto = Window.partitionBy("sk").orderBy("slice")
-        before = F.sum("words").over(upto) - F.col("words")
-        by_slice = by_slice.select("sk", "slice", before.alias("before"))
-        inside = Window.partitionBy("sk", "slice", "may").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        run = open_rows.withColumn("run", F.sum("size").over(inside))
-        run = run.join(by_slice, ["sk", "slice"], "left")
-        rows = run.withColumn("extra", F.col("extra") | (F.col("may") & (F.coalesce("before", F.lit(0)) + F.col("run") <= F.col("need"))))
-        rows = rows.select("sk", "doc_id", "u", "size", "source_size", "target", "whole", "q", "slice", "extra", "need")
-        rows = materialise(rows, f"round{k}")
-        used = rows.groupBy("sk").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("used"))
-        need = goal.select("sk", "need").join(used, "sk").select("sk", (F.col("need") - F.col("used")).alias("need"))
-        rows = rows.drop("need")
-    return rows.select("doc_id", "u", "size", "source_size", "target", ((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("taken"))
+    rows, goal = plan(docs, seed)
+    return _ranked(rows, small_or_shuffled(goal)).select("doc_id", "u", "size", "source_size", "target", ((F.col("whole") + _taken(ROUNDS).cast("long")) * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """``docs`` with ``copies`` (how often the mix repeats the row); rows that it doesn't take are left out.
 
-    Rows are matched by doc_id and text; of repeated rows each gets the copies
-    that one of them has, so callers remove exact repeats first.
+    Decided where the rows are, by their source's thresholds: no text is
+    shuffled. Rows of size 0 are never taken. Equal rows get equal copies. If
+    ``docs`` has a column ``copies`` already, that one is replaced.
     """
-    took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    took = materialise(took.groupBy("__id", "__u").agg(F.max("copies").alias("copies")), "took")
-    keyed = docs.withColumn("__key", uniform(seed))
-    return keyed.join(small_or_shuffled(took), keyed["doc_id"].eqNullSafe(took["__id"]) & (keyed["__key"] == took["__u"])).select(*[keyed[c] for c in docs.columns], "copies")
+    rows, goal = plan(docs, seed)
+    discard(rows)
+    held = unused("__row", docs)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(held), "doc_id", source_key().alias("sk"), word_count(F.col("text")).alias("size"), uniform(seed).alias("u"))
+    found = _ranked(keyed, small_or_shuffled(goal)).withColumn("copies", (F.col("whole") + _taken(ROUNDS).cast("long")).cast("int")).where("size > 0 and copies > 0")
+    return found.select(*[F.col(held)[c].alias(c) for c in docs.columns if c.lower() != "copies"], "copies")

@@ -108,11 +108,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix_round(k: int) -> str:
-    """One pass over the ranked documents: the longest prefix of those that still fit."""
+    """One pass over the ranked documents: the longest prefix of those that still fit, equal rows together."""
+    left = "goal" if k == 0 else f"n{k - 1} JOIN (SELECT sk, sum(CASE WHEN extra AND NOT was THEN size ELSE 0 END) AS used FROM r{k - 1} GROUP BY sk) USING (sk)"
+    rows = "ranked" if k == 0 else f"(SELECT * EXCLUDE (need, was, may) FROM r{k - 1})"
     return f"""
-n{k} AS (SELECT sk, need{"" if k == 0 else f" - used"} AS need FROM {"goal" if k == 0 else f"n{k - 1} JOIN (SELECT sk, sum(CASE WHEN extra AND NOT was THEN size ELSE 0 END) AS used FROM r{k - 1} GROUP BY sk) USING (sk)"}),
-m{k} AS (SELECT rid, sk, doc_id, size, q, {"FALSE" if k == 0 else "extra"} AS was, need, {"TRUE" if k == 0 else "NOT extra"} AND size <= need AND need > 0 AS may FROM {"ranked" if k == 0 else f"(SELECT * EXCLUDE (need, was, may) FROM r{k - 1})"} JOIN n{k} USING (sk)),
-r{k} AS (SELECT *, was OR (may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY sk ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= need) AS extra FROM m{k})"""
+n{k} AS (SELECT sk, need{"" if k == 0 else " - used"} AS need FROM {left}),
+m{k} AS (SELECT rid, sk, doc_id, size, q, {"FALSE" if k == 0 else "extra"} AS was, need, {"TRUE" if k == 0 else "NOT extra"} AND size <= need AND need > 0 AS may FROM {rows} JOIN n{k} USING (sk)),
+r{k} AS (SELECT *, was OR (may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY sk ORDER BY q, doc_id NULLS FIRST, size RANGE UNBOUNDED PRECEDING) <= need) AS extra FROM m{k})"""
 
 
 OP10_SQL = rf"""
@@ -133,8 +135,12 @@ lv3 AS (SELECT arg_min(level, k) AS found FROM lv2 WHERE level <= CAST(2 AS DOUB
 tgt AS (SELECT sk, source_size, s, least(CAST(2 AS DOUBLE) * s, coalesce(found, CAST('inf' AS DOUBLE)) * weight) AS target FROM lv2, lv3),
 gl0 AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole FROM tgt),
 gl1 AS (SELECT *, target - whole * s AS need FROM gl0),
-goal AS (SELECT *, CASE WHEN s > 0 THEN (need / s) / (1 - need / s) ELSE 0 END AS odds FROM gl1),
-ranked AS (SELECT rid, sk, doc_id, size, CASE WHEN odds > 0 THEN (u / (1 - u)) / odds ELSE CAST('inf' AS DOUBLE) END AS q FROM d JOIN goal USING (sk)),
+cls AS (SELECT sk, CAST(length(bin(size)) AS BIGINT) AS digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+inc AS (SELECT sk, digits, (need - coalesce(CAST(sum(words) OVER (PARTITION BY sk ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+    / CAST(sum(digits * words) OVER (PARTITION BY sk ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS scale FROM cls JOIN gl1 USING (sk) WHERE words > 0),
+goal AS (SELECT gl1.*, coalesce(i.scale, 1) AS scale FROM gl1 LEFT JOIN (SELECT sk, arg_max(scale, digits) AS scale FROM inc WHERE scale * digits < 1 GROUP BY sk) i USING (sk)),
+odd AS (SELECT rid, sk, doc_id, size, u, need, scale * CAST(length(bin(size)) AS DOUBLE) AS p FROM d JOIN goal USING (sk)),
+ranked AS (SELECT rid, sk, doc_id, size, CASE WHEN need > 0 THEN (u / (1 - u)) / (CASE WHEN p < 1 THEN p / (1 - p) ELSE CAST('inf' AS DOUBLE) END) ELSE CAST('inf' AS DOUBLE) END AS q FROM odd),
 {",".join(_mix_round(k) for k in range(mixing.ROUNDS))}
 SELECT r.doc_id, r.size, g.source_size, g.target, CAST((g.whole + CASE WHEN r.extra THEN 1 ELSE 0 END) * r.size AS BIGINT) AS taken
 FROM r{mixing.ROUNDS - 1} r JOIN goal g USING (sk)

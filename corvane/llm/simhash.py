@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import discard, materialise
+from corvane.llm.common import discard, materialise, small_or_shuffled
 
 SEGMENTS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
@@ -106,7 +106,13 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Union:
-    """Union-find over the fingerprints that one task has linked."""
+    """Union-find over the nodes that one task has linked lately.
+
+    It only keeps links from being repeated, so it may forget: beyond LIMIT
+    nodes it starts anew, which bounds its memory whatever the task reads.
+    """
+
+    LIMIT = 1 << 20
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -121,6 +127,8 @@ class _Union:
         x, y = self.root(x), self.root(y)
         if x == y:
             return False
+        if len(self.up) >= self.LIMIT:
+            self.up.clear()
         self.up[max(x, y)] = min(x, y)
         return True
 
@@ -241,57 +249,28 @@ def links(distinct: DataFrame, max_run: int = 16384) -> DataFrame:
     return pairs.unionByName(met.mapInArrow(stars, "a long, b long"))
 
 
-def _stars(large: bool):
-    """One star step over rows (x, y, changed) sorted by x and y, in constant memory for any number of neighbours.
-
-    A row's first y is the least neighbour of x. The large step hangs every
-    greater neighbour on the least node around; the small step hangs x and all
-    its (smaller) neighbours on the least of them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_x = last_y = least = None
-        for batch in batches:
-            x, y, changed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(x):
-                continue
-            new = np.r_[last_x is None or x[0] != last_x, x[1:] != x[:-1]]
-            fresh = new | np.r_[last_y is None or y[0] != last_y, y[1:] != y[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
-            m = np.where(at >= 0, y[at], 0 if least is None else least)
-            last_x, last_y, least = x[-1], y[-1], m[-1]
-            if large:
-                m = np.minimum(x, m)
-                keep = fresh & (y > x)
-                out = y[keep], m[keep], (changed | (m != x))[keep]
-            else:
-                moved = fresh & (y != m)
-                out = np.r_[x[new], y[moved]], np.r_[m[new], m[moved]], np.r_[changed[new], np.ones(moved.sum(), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "y", "changed"])
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, by alternating large-star and small-star rounds.
 
-    Each step is one shuffle and one sorted pass; each round is written to the
-    shared folder, so lineage stays one round deep.
+    An edge is a row (x, y) with x > y. The large step moves y to the least
+    neighbour of y, the small step hangs x and its neighbours on the least of
+    them. Both look up one narrow row for each node, found by a minimum that is
+    combined before its shuffle; edges themselves are not dealt by node while
+    that table can be broadcast (its size is checked), so a hub with any number
+    of neighbours is spread like all other rows. Beyond that size the join's
+    skewed partitions are split at run time. Edges never become more, and each
+    round is written to the shared folder, so lineage stays one round deep.
     """
-    schema = "x long, y long, changed boolean"
-
-    def step(rows: DataFrame, large: bool) -> DataFrame:
-        return rows.repartition("x").sortWithinPartitions("x", "y").mapInArrow(_stars(large), schema)
-
-    now = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.lit(False).alias("changed")).where("x <> y")
-    old = None
+    now = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y")
+    now = materialise(now, "cc")
     while True:
-        calm = now.withColumn("changed", F.lit(False))
-        both = calm.select(F.explode(F.array(F.struct("x", "y", "changed"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "changed"))).alias("e")).select("e.*")
-        now = materialise(step(step(both, True), False), "cc")
-        if old is not None:
-            discard(old)
-        old = now
+        near = materialise(now.groupBy(F.col("x").alias("y")).agg(F.min("y").alias("m")), "least")
+        jumped = now.select("x", "y").join(small_or_shuffled(near), "y", "left").select("x", F.coalesce("m", "y").alias("y"), F.col("m").isNotNull().alias("changed"))
+        least = materialise(jumped.groupBy("x").agg(F.min("y").alias("m"), F.max("changed").alias("changed")), "least")
+        moved = jumped.select("x", "y").join(small_or_shuffled(least.select("x", "m")), "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"), F.lit(True).alias("changed"))
+        new = materialise(least.select("x", F.col("m").alias("y"), "changed").unionByName(moved), "cc")
+        discard(now, near, least)
+        now = new
         if not now.agg(F.max("changed")).first()[0]:
             return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
@@ -307,9 +286,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_run: int = 16384) ->
     """
     fps = materialise(fingerprints(docs, shingle), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct, max_run))
+    found = links(distinct, max_run)
+    roots = components(found)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = materialise(linked.select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    discard(distinct)
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = linked.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
