@@ -55,13 +55,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    fs, target = _fs(spark, path)
-    fs.deleteOnExit(target)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder that exists deleted when the driver ends."""
+    fs, target = _fs(spark, path)
+    fs.deleteOnExit(target)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote, once nothing reads them any more."""
     for df in tables:
