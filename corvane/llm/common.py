@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.tables import BROADCAST_ROWS, Scratch, discard, materialise, scratch, shared_dir, small_or_shuffled, unused
+from corvane.tables import BROADCAST_ROWS, Scratch, delete_at_end, discard, materialise, scratch, shared_dir, small_or_shuffled, unused
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "Scratch", "ascii_lower", "discard", "materialise", "scratch", "shared_dir", "small_or_shuffled", "table", "unused"]
+__all__ = ["BROADCAST_ROWS", "UPPER", "Scratch", "ascii_lower", "delete_at_end", "discard", "materialise", "scratch", "shared_dir", "small_or_shuffled", "table", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

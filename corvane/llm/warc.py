@@ -7,29 +7,38 @@ of central directory (ZIP64 where there is one) to the central directory, from
 there to the index, and then reads the byte range of each record on its own;
 no member is ever extracted.
 
-The files are written with Spark's own committers (one file for each archive),
-so they can be in any store that Spark writes, and a lost executor leaves no
-half-written archive behind. Spark's text writer ends each file with a newline:
-the ZIP comment, one byte long, accounts for it.
+The files are written with Spark's own committers, one file for each archive
+and all in one folder, so they can be in any store that Spark writes, and a
+lost executor leaves no half-written archive behind. Spark's text writer ends
+each file with a newline: the ZIP comment, one byte long, accounts for it.
+The reader lists names and lengths only; tasks open the files themselves and
+seek (``file:`` folders, and stores that pyarrow opens). Where they can't, Spark
+hands a task the bytes of one archive at a time.
+
+Ids are written percent-encoded, so any characters may be in them; an id of no
+characters and a missing id differ.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import scratch
+from corvane.llm.common import BROADCAST_ROWS, delete_at_end, materialise, scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 16 << 20
+SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 MIN_REVISIT = 1000
 COMMENT = b"\n"
@@ -88,7 +97,7 @@ class ZipRanges:
     """
 
     def __init__(self, read_at: Callable[[int, int], bytes], size: int) -> None:
-        self.read_at, self.size = read_at, size
+        self.read_at, self.size, self.close = read_at, size, lambda: None
         tail_at = max(0, size - MAX16 - 22)
         tail = bytes(read_at(tail_at, size - tail_at))
         at = tail.rfind(struct.pack("<I", END))
@@ -144,21 +153,42 @@ class ZipRanges:
 
 
 def open_ranges(path: str) -> ZipRanges:
-    """A ZIP file in a mounted file system, by seek and read."""
-    f = open(path, "rb")  # noqa: SIM115
+    """A ZIP file, by seek and read: a path, a ``file:`` address, or an address of a store that pyarrow opens."""
+    if "://" in path and not path.startswith("file:"):
+        store, name = pafs.FileSystem.from_uri(path)
+        f = store.open_input_file(name)
+        size = f.size()
+    else:
+        f = open(path.removeprefix("file:"), "rb")  # noqa: SIM115
+        size = f.seek(0, 2)
 
     def read_at(offset: int, length: int) -> bytes:
         f.seek(offset)
         return f.read(length)
 
-    return ZipRanges(read_at, f.seek(0, 2))
+    found = ZipRanges(read_at, size)
+    found.close = f.close
+    return found
 
 
 # --- WARC ------------------------------------------------------------------
 
 
+def _written(page_id: object) -> str:
+    """An id as it is written: percent-encoded after an equals sign; nothing at all for a missing id."""
+    return "" if page_id is None else "=" + urllib.parse.quote(str(page_id), safe="")
+
+
+def _read(written: str) -> str | None:
+    return urllib.parse.unquote(written[1:]) if written else None
+
+
 def _urn(page_id: object) -> str:
-    return f"<urn:corvane:page:{'' if page_id is None else page_id}>"
+    return f"<urn:corvane:page:{_written(page_id)}>"
+
+
+def _id_of(urn: str | None) -> str | None:
+    return _read(urn[len("<urn:corvane:page:") : -1]) if urn else None
 
 
 def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object = None) -> bytes:
@@ -194,7 +224,7 @@ def archive_bytes(records: list[tuple[object, bytes]]) -> bytes:
     """A ZIP archive of records, which are given with their ids."""
     data, index = bytearray(), []
     for page_id, raw in records:
-        index.append(f"{'' if page_id is None else page_id}\t{len(data)}\t{len(raw)}")
+        index.append(f"{_written(page_id)}\t{len(data)}\t{len(raw)}")
         data += raw
     return zip_bytes([(DATA, bytes(data)), (INDEX, "\n".join(index).encode())], COMMENT)
 
@@ -211,79 +241,106 @@ def archive_records(z: ZipRanges) -> Iterator[Record]:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to.
+    """page_id (string), url, payload, digest, refers_to (string).
 
-    Only digests are aggregated (combined before the shuffle). The join back on
-    the digest can be split by Spark where one payload holds many rows.
+    Only digests are aggregated (combined before the shuffle); of payloads that
+    occur once nothing is kept. The winners are broadcast if their number,
+    checked here, allows it, and no page is shuffled then. Beyond that pages are
+    dealt by digest and salt, short ones (which refer to nothing) by their id,
+    so neither a payload of a third of all rows nor an empty one meets in a task.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= MIN_REVISIT
     first = base.where(long).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("digest", "winner")
-    keyed = base.withColumn("of", F.when(long, F.col("digest"))).join(first.withColumnRenamed("digest", "of"), "of", "left")
+    first = materialise(first, "winners")
+    if first.count() <= BROADCAST_ROWS:
+        keyed = base.join(F.broadcast(first.select(F.col("digest").alias("of"), "winner")), long & (F.col("digest") == F.col("of")), "left")
+    else:
+        salted = first.select(F.col("digest").alias("of"), "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+        spread = F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))
+        dealt = base.withColumns({"of_digest": F.when(long, F.col("digest")).otherwise(F.concat(F.lit("-"), spread)), "salt": F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")})
+        keyed = dealt.join(salted.hint("merge"), (F.col("of_digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
     same = F.col("page_id").eqNullSafe(F.col("winner"))
-    return keyed.select("page_id", "url", "payload", "digest", F.when(~same, F.col("winner")).alias("refers_to"))
+    return keyed.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "payload", "digest", F.when(~same, F.col("winner")).cast("string").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes_max: int = ARCHIVE_BYTES) -> None:
-    """Write one WARC record for every row of ``pages`` to ZIP archives below ``path``."""
+    """Write one WARC record for every row of ``pages`` to ZIP archives in the folder ``path``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+        held: list[tuple[object, bytes]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{n:06d}"]), pa.array([archive_bytes(held)], pa.binary())], ["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([archive_bytes(held)], pa.binary())], ["content"])
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = record_bytes(page_id, url, payload, digest, refers_to)
                 if held and size + len(raw) > archive_bytes_max:
                     yield out()
-                    held, size, n = [], 0, n + 1
+                    held, size = [], 0
                 held.append((page_id, raw))
                 size += len(raw)
         if held:
             yield out()
 
-    packed = revisits(pages).mapInArrow(pack, "archive string, content binary")
-    packed.select(F.col("content").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\n").text(path)
+    packed = revisits(pages).mapInArrow(pack, "content binary")
+    packed.select(F.col("content").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def _seekable(path: str) -> bool:
+    """Whether tasks can open files of this folder themselves."""
+    if path.startswith("file:"):
+        return True
+    try:
+        pafs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
 
 
 def read_archives(pages: DataFrame, path: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of all records below ``path``.
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of all records in the folder ``path``.
 
     ``pages`` gives the type of the ids. The payload of every response is
     checked against its recorded length and digest.
     """
     spark = pages.sparkSession
-    kind = pages.schema["page_id"].dataType.simpleString()
-    to_id = (lambda s: s) if kind == "string" else int
-
-    def name(urn: str | None) -> object:
-        s = urn[len("<urn:corvane:page:") : -1] if urn else ""
-        return to_id(s) if s else None
-
-    arrow = pa.string() if kind == "string" else pa.int64()
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def rows_of(archive: ZipRanges) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for r in archive_records(archive):
+            kind_of, digest = r.headers["WARC-Type"], r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
+            n = int(r.http["Content-Length"])
+            if kind_of == "response" and (len(r.payload) != n or hashlib.sha1(r.payload).hexdigest() != digest):
+                raise ValueError(f"damaged record {r.headers['WARC-Record-ID']}")
+            rows.append((_id_of(r.headers["WARC-Record-ID"]), r.headers.get("WARC-Target-URI"), n, digest, kind_of, _id_of(r.headers.get("WARC-Refers-To"))))
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                archive = open_ranges(name)
+                yield from rows_of(archive)
+                archive.close()
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 view = memoryview(content.as_buffer())
-                rows: list[tuple] = []
-                for r in archive_records(ZipRanges(lambda at, n, v=view: v[at : at + n], len(view))):
-                    kind_of, digest = r.headers["WARC-Type"], r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    n = int(r.http["Content-Length"])
-                    if kind_of == "response" and (len(r.payload) != n or hashlib.sha1(r.payload).hexdigest() != digest):
-                        raise ValueError(f"damaged record {r.headers['WARC-Record-ID']}")
-                    rows.append((name(r.headers["WARC-Record-ID"]), r.headers.get("WARC-Target-URI"), n, digest, kind_of, name(r.headers.get("WARC-Refers-To"))))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (arrow, pa.string(), pa.int64(), pa.string(), pa.string(), arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    id_type = "string" if kind == "string" else "long"
-    schema = f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(unpack, schema)
+                yield from rows_of(ZipRanges(lambda at, n, v=view: v[at : at + n], len(view)))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    local = _seekable(path)
+    found = files.select("path" if local else "content").mapInArrow(seek if local else slices, schema)
+    kind = pages.schema["page_id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -292,9 +349,13 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     Of equal payloads of at least 1000 bytes the largest page_id is the
     response and the others revisit it; repeated rows with that id are all
     responses. A null html is an empty payload. A row without page_id revisits
-    like any other; if no row of its group has an id, all are responses. An
-    empty table gives no rows. Other columns are not read.
+    like any other; if no row of its group has an id, all are responses. Ids
+    keep their type and every character. An empty table gives no rows. Other
+    columns are not read.
     """
+    own = path is None
     path = path or scratch(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages, path)
+    if own:
+        delete_at_end(pages.sparkSession, path)
+    return read_archives(pages, path if ":" in path.split("/")[0] else f"file:{path}")
