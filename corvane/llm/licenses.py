@@ -11,8 +11,10 @@ suppressed. Base phrases are counted apart from that and never suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 from typing import NamedTuple
 
 import ahocorasick
@@ -153,6 +155,91 @@ fair-use | 30 | 0.5 | fair use | (?:constitutes |under )?fair use
 dmca | 30 | 0.5 | dmca|digital millennium | (?:dmca|digital millennium copyright act)
 tdm-reservation | 60 | 0.8 | text and data mining|tdm | (?:text and data mining|tdm) (?:rights |is |are )?(?:reserved|prohibited|not permitted)
 no-ai-training | 60 | 0.8 | not be used | (?:may not|must not|not) be used (?:for|to) (?:the )?(?:training|train) (?:of )?(?:ai|artificial intelligence|machine learning)
+mit | 85 | 0.9 | substantial portions | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 55 | 0.8 | in no event shall | in no event shall the authors or copyright holders be liable for any claim damages or other liability
+bsd-2-clause | 60 | 0.8 | redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2-clause | 60 | 0.8 | redistributions | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-family | 50 | 0.7 | copyright holders and contributors | this software is provided by the (?:copyright holders|regents) and contributors as is
+bsd-family | 25 | 0.5 | bsd | (?:the )?bsd (?:style )?licen[cs]e
+isc | 55 | 0.8 | author disclaims | the (?:software is provided as is and the )?author disclaims all warranties with regard to this software
+apache-2.0 | 70 | 0.9 | distributed on an | distributed on an as is basis without warranties or conditions of any kind either express or implied
+apache-2.0 | 65 | 0.9 | permissions and limitations | see the license for the specific language governing permissions and limitations under the license
+apache-family | 25 | 0.5 | apache | apache (?:software )?licen[cs]e
+gpl-notice | 58 | 0.8 | without any warranty | distributed in the hope that it will be useful but without any warranty
+gpl-notice | 58 | 0.8 | free software foundation | write to the free software foundation inc
+gpl-notice | 58 | 0.8 | gnu org licenses | (?:see )?(?:https? )?(?:www )?gnu org licenses
+gpl-2.0-only | 93 | 1.0 | version 2 | general public license version 2 only
+gpl-3.0-only | 93 | 1.0 | version 3 | general public license version 3 only
+gpl-exception | 70 | 0.8 | linking exception | (?:gnu )?(?:classpath|linking) exception
+agpl-3.0-or-later | 94 | 1.0 | affero | affero general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
+agpl-notice | 60 | 0.8 | interacting with it remotely | all users interacting with it remotely through a computer network
+lgpl-notice | 60 | 0.8 | work that uses the library | work that uses the library
+gfdl-notice | 80 | 0.9 | documentation license | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl-no-invariant | 75 | 0.9 | invariant sections | with no invariant sections no front cover texts and no back cover texts
+mpl-2.0 | 85 | 0.9 | mozilla org | mozilla org mpl 2 0
+mpl-1.1 | 88 | 0.9 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
+mpl-exhibit-b | 85 | 0.9 | incompatible with secondary | this source code form is incompatible with secondary licenses
+epl-2.0 | 88 | 0.9 | eclipse org | eclipse org legal epl (?:2 0|v20)
+cddl-1.0 | 85 | 0.9 | common development | the contents of this file are subject to the terms of the common development and distribution license
+artistic-notice | 60 | 0.8 | as perl itself | under the same terms as perl(?: itself)?
+python-notice | 60 | 0.8 | as python itself | under the same terms as python(?: itself)?
+boost-url | 88 | 1.0 | boost org | boost org license 1 0
+zlib | 70 | 0.9 | misrepresented | the origin of this software must not be misrepresented
+zlib | 60 | 0.8 | altered from any source | this notice may not be removed or altered from any source distribution
+openssl | 85 | 0.9 | openssl | this product includes software developed by the openssl project
+ssleay | 85 | 0.9 | eric young | this product includes cryptographic software written by eric young
+unlicense | 80 | 0.9 | unlicense org | unlicense org
+unlicense | 80 | 0.9 | anyone is free to copy | anyone is free to copy modify publish use compile sell or distribute this software
+cc0-1.0 | 80 | 0.9 | waived all copyright | (?:has |have )?waived all copyright and related or neighboring rights
+cc-by-sa-any | 35 | 0.7 | alike | creative commons attribution share ?alike
+cc-by-nc-any | 35 | 0.7 | commercial | creative commons attribution non ?commercial
+cc-by-nd-any | 35 | 0.7 | deriv | creative commons attribution no ?deriv(?:ative)?s
+cc-notice | 50 | 0.7 | creative commons | except where otherwise noted (?:\\S+ ){0,8}creative commons
+cc-by-2.0 | 90 | 1.0 | creativecommons | creativecommons org licenses by 2 0
+cc-by-sa-2.0 | 90 | 1.0 | creativecommons | creativecommons org licenses by sa 2 0
+cc-by-nc-3.0 | 90 | 1.0 | creativecommons | creativecommons org licenses by nc 3 0
+cc-by-nc-sa-3.0 | 90 | 1.0 | creativecommons | creativecommons org licenses by nc sa 3 0
+cc-by-nc-nd-3.0 | 90 | 1.0 | creativecommons | creativecommons org licenses by nc nd 3 0
+cc-pdm-1.0 | 90 | 1.0 | creativecommons | creativecommons org publicdomain mark 1 0
+odbl-1.0 | 88 | 1.0 | opendatacommons | opendatacommons org licenses odbl
+odc-by-1.0 | 88 | 1.0 | opendatacommons | opendatacommons org licenses by
+pddl-1.0 | 88 | 1.0 | opendatacommons | opendatacommons org licenses pddl
+osm-attribution | 60 | 0.8 | openstreetmap | openstreetmap contributors
+ogl-uk-3.0 | 80 | 0.9 | open government | (?:contains public sector information licensed under the )?open government licen[cs]e(?: v3 0)?
+us-government-work | 60 | 0.8 | government | (?:a )?work of the (?:united states|u s|us) government
+crown-copyright | 60 | 0.8 | crown copyright | crown copyright
+json | 85 | 0.9 | good not evil | shall be used for good not evil
+beerware | 85 | 0.9 | beer | beer ?ware licen[cs]e|you can buy me a beer in return
+hippocratic | 80 | 0.9 | hippocratic | hippocratic licen[cs]e
+commons-clause | 80 | 0.9 | commons clause | commons clause
+openrail | 80 | 0.9 | rail|responsible ai | (?:creativeml )?open ?rail(?: m| d| s)? licen[cs]e|responsible ai licen[cs]e
+llama-community | 80 | 0.9 | llama | llama (?:2 |3 )?community licen[cs]e
+research-only | 55 | 0.7 | research | (?:for )?(?:academic |scientific )?research (?:use|purposes) only
+personal-use-only | 55 | 0.7 | personal | (?:for )?personal use only
+evaluation-only | 55 | 0.7 | evaluation | (?:for )?evaluation (?:use|purposes) only
+trial-version | 40 | 0.6 | trial version | trial version
+eula | 50 | 0.7 | end user | end user licen[cs]e agreement
+terms-of-use | 40 | 0.6 | terms of | terms of (?:use|service) apply
+trademark-notice | 35 | 0.6 | trademark | (?:is a |are )(?:registered )?trademarks? of
+patent-grant | 50 | 0.7 | patent | royalty free irrevocable (?:\\S+ ){0,4}patent licen[cs]e
+patent-pending | 35 | 0.6 | patent pending | patent pending
+confidential | 50 | 0.7 | confidential | (?:strictly |company )confidential|confidential information of
+trade-secret | 50 | 0.7 | trade secret | trade secrets? of
+internal-use-only | 55 | 0.7 | internal use | (?:for )?internal use only
+no-derivatives | 50 | 0.7 | derivative | no derivative works|may not create derivative works
+no-scraping | 55 | 0.7 | scrap|crawl|automated means | (?:may|must) not (?:scrape|crawl)|scraping is prohibited|access (?:\\S+ ){0,4}by automated means
+no-commercial-use | 50 | 0.7 | commercial use | no commercial use|commercial use (?:is )?(?:prohibited|not permitted|not allowed|forbidden)
+reprint-permission | 45 | 0.6 | permission | (?:reprinted|reproduced|used) (?:by|with) permission
+republish-permission | 45 | 0.6 | republish|reprint | (?:to )?(?:republish|reprint) (?:\\S+ ){0,4}(?:contact|permission)
+attribution-required | 45 | 0.6 | attribution | attribution (?:is )?required
+copyright-holder | 30 | 0.5 | copyright | copyright (?:the )?(?:author|authors|owner|owners|holder|holders)
+copyright-mark | 30 | 0.5 | copr | copr (?:19|20)[0-9]{2}
+moral-rights | 45 | 0.6 | moral right | moral rights? of the author
+public-domain | 45 | 0.7 | copyright | no (?:known )?copyright(?: restrictions)?
+gemeinfrei | 45 | 0.7 | gemeinfrei | gemeinfrei
+reserved-de | 45 | 0.7 | rechte vorbehalten | alle rechte vorbehalten
+reserved-fr | 45 | 0.7 | droits r | tous droits réservés
+reserved-es | 45 | 0.7 | derechos reservados | todos los derechos reservados
 """.strip()
 
 
@@ -203,12 +290,26 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def suppress(found: list[Hit]) -> list[Hit]:
-    """Detections that no other one of higher or equal priority contains, in order of place."""
+    """Detections that no other one of higher or equal priority contains, in order of place.
+
+    One sweep for each priority, from the highest: what is kept so far answers,
+    by bisection, how far a detection that begins no later reaches.
+    """
     kept: list[Hit] = []
-    for h in sorted(found, key=lambda h: (-h.priority, h.first - h.last, h.first, h.label)):
-        if not any(k.first <= h.first and h.last <= k.last for k in kept):
-            kept.append(h)
-    return sorted(kept, key=lambda h: (h.first, h.last, h.label))
+    starts: list[int] = []
+    reach: list[int] = []
+    for _, level in groupby(sorted(found, key=lambda h: (-h.priority, h.first, -h.last, h.label)), key=lambda h: h.priority):
+        end, new = -1, []
+        for h in level:
+            k = bisect_right(starts, h.first)
+            if h.last > max(end, reach[k - 1] if k else -1):
+                new.append(h)
+                end = h.last
+        if new:
+            kept += new
+            kept.sort(key=lambda h: (h.first, h.last, h.label))
+            starts, reach = [h.first for h in kept], list(accumulate((h.last for h in kept), max))
+    return kept
 
 
 def words_of(text: str | None) -> tuple[int, str]:
@@ -217,29 +318,43 @@ def words_of(text: str | None) -> tuple[int, str]:
     return len(words), " " + b" ".join(words).decode() + " "
 
 
-def detect(joined: str) -> list[Hit]:
-    """What the signature rules find, after suppression; places are word numbers from 0."""
-    candidates = {i for _, numbers in _automaton().iter(joined) for i in numbers}
+def detect(joined: str, gated: bool = True) -> list[Hit]:
+    """What the signature rules find, after suppression; places are word numbers from 0.
+
+    ``gated`` tries only rules of which a keyword stands in the text.
+    """
+    candidates = sorted({i for _, numbers in _automaton().iter(joined) for i in numbers}) if gated else range(len(rules()))
+    spaces: list[int] | None = None
     found = []
-    for i in sorted(candidates):
+    for i in candidates:
         r = rules()[i]
         for m in r.pattern.finditer(joined):
-            first = joined.count(" ", 0, m.start()) - 1
+            if spaces is None:
+                spaces = [k for k, c in enumerate(joined) if c == " "]
+            first = bisect_left(spaces, m.start()) - 1
             found.append(Hit(r.label, first, first + m[0].strip().count(" "), r.priority, r.confidence))
     return suppress(found)
 
 
-def scan(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, detections of a whole text."""
-    n, joined = words_of(text)
-    starts: list[int] = []
-    base: set[str] = set()
+def base_places(joined: str) -> list[tuple[int, str]]:
+    """(word number, label) of every place of a base phrase, in order of phrases."""
+    out = []
     for phrase, label in BASE.items():
+        words = upto = 0
         at = joined.find(f" {phrase} ")
         while at >= 0:
-            base.add(label)
-            starts.append(joined.count(" ", 0, at))
+            words += joined.count(" ", upto, at)  # counts on from the place before
+            upto = at
+            out.append((words, label))
             at = joined.find(f" {phrase} ", at + 1)
+    return out
+
+
+def scan(text: str | None) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, detections of a whole text."""
+    n, joined = words_of(text)
+    places = base_places(joined)
+    starts, base = [k for k, _ in places], {label for _, label in places}
     hits = detect(joined)
     labels = base | {h.label for h in hits}
     score = max([0.5 * bool(base), *(h.confidence for h in hits)])
@@ -249,8 +364,10 @@ def scan(text: str | None) -> tuple:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    One row for every row of ``docs``. A null or empty text has no words, no
-    labels and score 0. ``detections`` is an array of (label, first, last,
+    One row for every row of ``docs``, repeated rows and rows without an id
+    included; an empty table gives none. A null or empty text has no words, no
+    labels and score 0. Texts are read whole, in time linear in their length
+    (but for sorting detections). ``detections`` is an array of (label, first, last,
     priority, confidence), places in words. Other columns are not read.
     """
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]))
