@@ -159,7 +159,7 @@ mit | 85 | 0.9 | substantial portions | the above copyright notice and this perm
 mit | 55 | 0.8 | in no event shall | in no event shall the authors or copyright holders be liable for any claim damages or other liability
 bsd-2-clause | 60 | 0.8 | redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd-2-clause | 60 | 0.8 | redistributions | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
-bsd-family | 50 | 0.7 | copyright holders and contributors | this software is provided by the (?:copyright holders|regents) and contributors as is
+bsd-family | 50 | 0.7 | contributors as is | this software is provided by the (?:copyright holders|regents) and contributors as is
 bsd-family | 25 | 0.5 | bsd | (?:the )?bsd (?:style )?licen[cs]e
 isc | 55 | 0.8 | author disclaims | the (?:software is provided as is and the )?author disclaims all warranties with regard to this software
 apache-2.0 | 70 | 0.9 | distributed on an | distributed on an as is basis without warranties or conditions of any kind either express or implied
@@ -170,7 +170,7 @@ gpl-notice | 58 | 0.8 | free software foundation | write to the free software fo
 gpl-notice | 58 | 0.8 | gnu org licenses | (?:see )?(?:https? )?(?:www )?gnu org licenses
 gpl-2.0-only | 93 | 1.0 | version 2 | general public license version 2 only
 gpl-3.0-only | 93 | 1.0 | version 3 | general public license version 3 only
-gpl-exception | 70 | 0.8 | linking exception | (?:gnu )?(?:classpath|linking) exception
+gpl-exception | 70 | 0.8 | ing exception|path exception | (?:gnu )?(?:classpath|linking) exception
 agpl-3.0-or-later | 94 | 1.0 | affero | affero general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
 agpl-notice | 60 | 0.8 | interacting with it remotely | all users interacting with it remotely through a computer network
 lgpl-notice | 60 | 0.8 | work that uses the library | work that uses the library
@@ -181,8 +181,8 @@ mpl-1.1 | 88 | 0.9 | mozilla | the contents of this file are subject to the mozi
 mpl-exhibit-b | 85 | 0.9 | incompatible with secondary | this source code form is incompatible with secondary licenses
 epl-2.0 | 88 | 0.9 | eclipse org | eclipse org legal epl (?:2 0|v20)
 cddl-1.0 | 85 | 0.9 | common development | the contents of this file are subject to the terms of the common development and distribution license
-artistic-notice | 60 | 0.8 | as perl itself | under the same terms as perl(?: itself)?
-python-notice | 60 | 0.8 | as python itself | under the same terms as python(?: itself)?
+artistic-notice | 60 | 0.8 | as perl | under the same terms as perl(?: itself)?
+python-notice | 60 | 0.8 | as python | under the same terms as python(?: itself)?
 boost-url | 88 | 1.0 | boost org | boost org license 1 0
 zlib | 70 | 0.9 | misrepresented | the origin of this software must not be misrepresented
 zlib | 60 | 0.8 | altered from any source | this notice may not be removed or altered from any source distribution

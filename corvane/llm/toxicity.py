@@ -6,15 +6,23 @@ subsequences of three characters, each weighed by the length that it spans, so
 insults with inserted or missing characters stay close to the plain ones. A
 word starts with a boundary character that takes part in subsequences.
 
-Landmarks are strings that labelled toxic documents share and clean ones lack,
-and frequent strings of clean documents; the Nyström map turns the kernel into
-coordinates, in which a linear SVM is trained. A document is scored by a
-logistic model over the best string's margin and how many strings are on the
-toxic side.
+Training reads labelled texts as bags of strings: a clean text says that none of
+its strings is toxic, a toxic one that some string is. The SVM is fitted in
+turns: the strings of toxic bags that look toxic so far (at first those with
+great odds of standing in toxic texts) are learned against the strings of clean
+bags, and the bags' strings are judged anew, until none changes sides.
+The Nyström map over landmark strings makes the kernel coordinates in which the
+SVM is linear. A document is scored by a logistic model over the best string's
+margin and how many strings are on the toxic side.
 
 Only strings that share enough of a toxic landmark's character pairs (gaps of
 one allowed) can be near it; a table lookup over all characters of a batch finds
-those, and the kernel is computed for them alone.
+those, and the kernel is computed for them alone. Every string learned as toxic
+passes the lookup: one that doesn't becomes a landmark.
+
+Fitting counts strings on the executors, over whole texts. The driver gets
+counts of strings, a few numbers for each labelled text and the toxic bags'
+candidate strings, never a text.
 """
 
 from __future__ import annotations
@@ -26,17 +34,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import discard, materialise
 from corvane.llm.learn import held_out, labelled_ids
 
 MOD, REST = 4, 2
 THRESHOLD = 0.3
 TRAIN_ROWS = 8_000
-TRAIN_TEXT_BYTES = 1 << 16
 ORDER, DECAY = 3, 0.5
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 24, 40
+#: Strings that are learned from, and landmarks of clean strings.
+TOXIC_STRINGS, CLEAN_STRINGS, HARD_STRINGS, CLEAN_LANDMARKS = 300, 900, 2500, 40
+TURNS = 6
 ALIKE = 0.4
 PIECE, STRIDE = 32, 16
 SHARE = 0.7
@@ -91,14 +102,27 @@ def strings(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return kind, at, owner[at]
 
 
+def cuts(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces begin and end, and the number of each piece's string: strings longer than PIECE in overlapping pieces."""
+    long = ends - starts > PIECE
+    count = np.where(long, np.maximum(1, -((starts + STRIDE - ends) // STRIDE)), 1)
+    of = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(of)) - np.repeat(count.cumsum() - count, count)
+    lo = starts[of] + nth * STRIDE
+    return lo, np.where(long[of], np.minimum(lo + PIECE, ends[of]), ends[of]), of
+
+
 def pieces(kind: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Strings as bytes (with the leading 0); longer ones than PIECE in overlapping pieces. Also the number of each piece's string."""
-    raw, out, of = kind.tobytes(), [], []
-    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        for lo in range(s, max(s + 1, e - STRIDE), STRIDE) if e - s > PIECE else (s,):
-            out.append(raw[lo : min(lo + PIECE, e)])
-            of.append(i)
-    return out, np.array(of, dtype=np.int64)
+    raw = kind.tobytes()
+    lo, hi, of = cuts(starts, ends)
+    return [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], of
+
+
+def items_of(text: str | None) -> set[bytes]:
+    """The different strings (pieces) of a text that are long enough to be learned from."""
+    kind, starts, _ = strings([text])
+    return {x for x in pieces(kind, starts, np.r_[starts[1:], len(kind)])[0] if len(x) >= 4}
 
 
 def _padded(items: list[bytes], fill: int) -> np.ndarray:
@@ -159,19 +183,33 @@ def lookup_tables(toxic: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(kind: np.ndarray, starts: np.ndarray, tables: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which strings share enough pairs with a toxic landmark, directly or over a gap of one character."""
+    """Which strings have a piece that shares enough pairs with a toxic landmark, directly or over a gap of one character.
+
+    A piece of at most PIECE characters counts at most twice as many pairs, so
+    its one-byte counters can't overflow, however long the string is.
+    """
     if not len(starts) or not len(tables):
         return np.zeros(len(starts), bool)
     k = np.append(kind, [SPACE, SPACE]).astype(np.int64)
     a, b, c = k[:-2] * KINDS, k[1:-1], k[2:]
     one = np.where(b != SPACE, a + b, 0)  # pair (0, 0) is in no landmark
     two = np.where((b != SPACE) & (c != SPACE), a + c, 0)
+    lo, hi, of = cuts(starts, np.r_[starts[1:], len(kind)])
+    bounds = np.stack([lo, hi], axis=1).ravel()
     lanes = []
     for t in tables:
-        hits = t[one] + t[two]
-        lanes.append(np.add.reduceat(hits, starts))
+        hits = np.append(t[one] + t[two], np.uint64(0))  # so that the end of the last piece is a place
+        lanes.append(np.add.reduceat(hits, bounds)[::2])
     counts = np.stack(lanes, axis=1).view(np.uint8)
-    return (counts >= need).any(axis=1)
+    out = np.zeros(len(starts), bool)
+    out[of[(counts >= need).any(axis=1)]] = True
+    return out
+
+
+def passing(items: list[bytes], tables: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of some pieces pass the lookup."""
+    kind = np.frombuffer(b"".join(items), dtype=np.uint8)
+    return candidates(kind, np.cumsum([0, *map(len, items[:-1])]), tables, need) if items else np.zeros(0, bool)
 
 
 def margins(items: list[bytes], model: Model, cache: dict[bytes, float]) -> np.ndarray:
@@ -237,19 +275,28 @@ def features(texts: list[str | None], model: Model, cache: dict[bytes, float]) -
     return out
 
 
-def _different(texts: list[str]) -> list[int]:
-    """Places of texts of which none is a near copy of another (they share no minimum of six hashes over five-word shingles)."""
-    rng = np.random.default_rng(11)
-    mult = rng.integers(1, 2**63, 6, dtype=np.uint64) | np.uint64(1)
+def _minima(text: str | None) -> list[int]:
+    """Six minima of hashes over five-word shingles; near copies share some."""
+    words = (text or "").encode().split()
+    grams = np.array([xxhash.xxh64_intdigest(b" ".join(g)) for g in zip(*(words[k:] for k in range(5)), strict=False)] or [xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
+    out = np.full(6, 2**64 - 1, np.uint64)
+    for lo in range(0, len(grams), 1 << 16):
+        with np.errstate(over="ignore"):
+            mixed = (grams[lo : lo + (1 << 16), None] ^ (grams[lo : lo + (1 << 16), None] >> np.uint64(29))) * _MULT[None, :]
+            mixed ^= mixed >> np.uint64(32)
+            out = np.minimum(out, (mixed * _MULT[None, ::-1]).min(axis=0))
+    return out.view(np.int64).tolist()
+
+
+_MULT = np.random.default_rng(11).integers(1, 2**63, 6, dtype=np.uint64) | np.uint64(1)
+
+
+def different(rows: list[list[int]]) -> list[int]:
+    """Places of the rows of minima that share none with a row before."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, t in enumerate(texts):
-        words = t.encode().split()
-        grams = np.array([hash(g) & (2**64 - 1) for g in zip(*(words[k:] for k in range(5)), strict=False)] or [hash(tuple(words)) & (2**64 - 1)], dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            mixed = (grams[:, None] ^ (grams[:, None] >> np.uint64(29))) * mult[None, :]
-        mixed ^= mixed >> np.uint64(32)
-        keys = set(enumerate((mixed * mult[None, ::-1]).min(axis=0).tolist()))
+    for i, minima in enumerate(rows):
+        keys = set(enumerate(minima))
         if not keys & seen:
             out.append(i)
         seen |= keys
@@ -287,88 +334,133 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return tuple(map(float, w))
 
 
-def _unlike(items: list[bytes], most: int) -> tuple[bytes, ...]:
-    """The first of ``items`` that are not much alike by the normalised kernel, ``most`` at most."""
-    own = np.maximum(_own(items), 1e-12)
-    gram = kernel(items, items) / np.sqrt(np.outer(own, own))
-    out: list[int] = []
-    for i in range(len(items)):
-        if len(out) < most and all(gram[i, j] <= ALIKE for j in out):
-            out.append(i)
-    return tuple(items[i] for i in out)
-
+def gate(toxic: list[bytes]) -> tuple[tuple[bytes, ...], np.ndarray, np.ndarray]:
+    """Toxic landmarks and their lookup: strings not much alike by the normalised kernel, and every other one that the lookup would miss."""
+    own = np.maximum(_own(toxic), 1e-12)
+    gram = kernel(toxic, toxic) / np.sqrt(np.outer(own, own))
+    chosen: list[int] = []
+    for i in range(len(toxic)):
+        if all(gram[i, j] <= ALIKE for j in chosen):
+            chosen.append(i)
+    for i in range(len(toxic)):
+        if i not in chosen and not passing([toxic[i]], *lookup_tables(tuple(toxic[j] for j in chosen)))[0]:
+            chosen.append(i)
+    marks = tuple(toxic[i] for i in chosen)
+    return marks, *lookup_tables(marks)
 
-def _variants(word: bytes) -> list[bytes]:
-    """A toxic string, and what it looks like with a character inserted, doubled or left out."""
-    out = [word]
-    for i in range(2, len(word)):
-        out.append(word[:i] + bytes([1 + (i * 11 + word[i]) % 26]) + word[i:])
-        if i % 2:
-            out += [word[:i] + word[i : i + 1] + word[i:], word[:i] + word[i + 1 :]] if len(word) > 6 else [word[:i] + word[i : i + 1] + word[i:]]
-    return out
 
+def learn(marks: tuple[bytes, ...], tables: np.ndarray, need: np.ndarray, odds: dict[bytes, float], clean: list[bytes], hard: dict[bytes, int], bags: list[list[bytes]]) -> Model:
+    """The SVM (not yet calibrated) from toxic bags and the strings of clean ones.
 
-def fit_rows(rows: list[tuple[str, int]]) -> Model:
-    """Model from (text, label) rows."""
-    texts, y = [t or "" for t, _ in rows], np.array([v for _, v in rows], dtype=float)
-    keep = _different(texts) if texts else []
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    constant = Model((), (), np.zeros(0), np.zeros(0), 0.0, np.zeros((0, 0), np.uint64), np.zeros(0), (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
-    if not len(y) or y.min() == y.max():
-        return constant
-    df = (Counter(), Counter())
-    n = [0, 0]
-    for i in keep:
-        kind, starts, _ = strings([texts[i]])
-        items, _ = pieces(kind, starts, np.r_[starts[1:], len(kind)])
-        df[int(y[i])].update({x for x in items if 4 <= len(x)})
-        n[int(y[i])] += 1
-    odds = {x: c / max(n[1], 1) / ((df[0][x] + 0.3) / max(n[0], 1)) for x, c in df[1].items() if c >= 3}
-    least = max(4, math.ceil(0.015 * n[1]))
-    toxic = sorted((x for x, o in odds.items() if o >= 10 and df[1][x] >= least), key=lambda x: (-df[1][x], x))
-    if not toxic:
-        return constant
-    marks = _unlike(toxic[:300], TOXIC_LANDMARKS)
-    tables, need = lookup_tables(marks)
-    hard: Counter = Counter()  # clean strings that get past the table lookup
-    for i in keep:
-        if not y[i]:
-            kind, starts, _ = strings([texts[i]])
-            chosen = np.flatnonzero(candidates(kind, starts, tables, need))
-            hard.update(set(pieces(kind, starts[chosen], np.r_[starts[1:], len(kind)][chosen])[0]))
-    hard_items = [x for x, _ in sorted(hard.items(), key=lambda p: (-p[1], p[0])) if x not in odds]
-    clean = [x for x, _ in sorted(df[0].items(), key=lambda p: (-p[1], p[0])) if odds.get(x, 0) < 1.5]
-    heavy = {v: df[1][x] / (1 if v == x else 10) for x in reversed(toxic[:300]) for v in reversed(_variants(x))}
-    positive = list(heavy)
-    negative = list(dict.fromkeys(clean[:300] + hard_items[:2500] + clean[300 :: max(1, len(clean) // 600)][:600]))
-    negative = [x for x in negative if x not in heavy]
-    examples = positive + negative
-    target = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weight = np.array([*heavy.values(), *(1.0 + math.log1p(hard[x] + df[0][x]) for x in negative)])
-    landmarks = marks + tuple(clean[: CLEAN_LANDMARKS // 4] + hard_items[: CLEAN_LANDMARKS // 4] + hard_items[CLEAN_LANDMARKS :: max(1, len(hard_items) // (CLEAN_LANDMARKS // 2))][: CLEAN_LANDMARKS // 2])
+    ``odds`` are those of strings that stand in toxic texts much more often than
+    in clean ones, ``clean`` frequent strings of clean texts, ``hard`` clean
+    strings that pass the lookup with the number of texts that have them.
+    """
+    names = list(hard)
+    landmarks = marks + tuple(clean[: CLEAN_LANDMARKS // 4] + names[: CLEAN_LANDMARKS // 4] + names[CLEAN_LANDMARKS :: max(1, len(names) // (CLEAN_LANDMARKS // 2))][: CLEAN_LANDMARKS // 2])
     landmarks = tuple(dict.fromkeys(landmarks))
     norms = np.maximum(_own(list(landmarks)), 1e-12)
     gram = kernel(list(landmarks), list(landmarks)) / np.sqrt(np.outer(norms, norms))
     values, vectors = np.linalg.eigh(gram.astype(float))
     good = values > 1e-4
     nystroem = vectors[:, good] / np.sqrt(values[good])
-    own = np.maximum(_own(examples), 1e-12)
-    similar = kernel(examples, list(landmarks)) / np.sqrt(own)[:, None] / np.sqrt(norms)[None, :]
-    w, bias = _svm(similar @ nystroem, target, weight)
-    model = Model(marks, landmarks, norms, nystroem @ w, bias, tables, need, ())
-    calibration = _logistic(features([texts[i] for i in keep], model, {}), y[keep])
-    return model._replace(calibration=calibration)
+
+    def coordinates(items: list[bytes]) -> np.ndarray:
+        own = np.maximum(_own(items), 1e-12)
+        return kernel(items, list(landmarks)) / np.sqrt(own)[:, None] / np.sqrt(norms)[None, :] @ nystroem
+
+    everything = sorted({x for bag in bags for x in bag})
+    place = {x: i for i, x in enumerate(everything)}
+    inside = coordinates(everything)
+    negative = [x for x in dict.fromkeys(clean + names) if x not in odds]
+    outside, heavy = coordinates(negative), np.array([1.0 + math.log1p(hard.get(x, 0)) for x in negative])
+    margin = np.array([math.log(odds[x]) if x in odds else -1.0 for x in everything])
+    within = Counter(place[x] for bag in bags for x in bag)
+    taken: list[int] = []
+    w, bias = np.zeros(nystroem.shape[1]), 0.0
+    for _ in range(TURNS):
+        toxic = sorted(i for i in within if margin[i] > 0)
+        if toxic == taken or not toxic:
+            break
+        taken = toxic
+        x = np.concatenate([inside[taken], outside])
+        target = np.r_[np.ones(len(taken)), -np.ones(len(outside))]
+        w, bias = _svm(x, target, np.r_[[float(within[i]) for i in taken], heavy])
+        margin = inside @ w + bias
+    return Model(marks, landmarks, norms, nystroem @ w, bias, tables, need, ())
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from at most about ``train_rows`` labelled rows that aren't held out.
+    """Learn from at most about ``train_rows`` labelled rows that aren't held out, over their whole texts.
 
-    Texts of more than TRAIN_TEXT_BYTES bytes are left out of fitting, so that
-    what the driver holds has a bound. Scoring reads every text as a whole.
+    The model depends on the rows alone, not on their order or partitions. Null
+    and empty texts are bags without strings; near copies count once; an id with
+    several labels has the greatest. With no labelled rows, labels of one kind,
+    or no string that tells them apart, all scores are equal.
     """
     ids = labelled_ids(labels, "toxic", MOD, REST, train_rows)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_TEXT_BYTES).join(F.broadcast(ids), "doc_id").collect()
-    return fit_rows([(r.text, int(r.y > 0)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), (F.col("y") > 0).cast("int").alias("y"), "text")
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(3).to_pylist()
+            columns = [*batch.columns[:3], pa.array(map(_minima, whole), pa.list_(pa.int64())), pa.array([sorted(items_of(t)) for t in whole], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "y", "minima", "items"])
+
+    bags = materialise(texts.mapInArrow(bag, f"doc_id {kind}, hash long, y int, minima array<long>, items array<binary>"), "bags")
+    rows = sorted((r.doc_id, r.hash, r.y, r.minima) for r in bags.select("doc_id", "hash", "y", "minima").collect())
+    kept = [rows[i] for i in different([r[3] for r in rows])]
+    n = Counter(y for _, _, y, _ in kept)
+    share = (n[1] + 0.5) / (n[0] + n[1] + 1)
+    constant = Model((), (), np.zeros(0), np.zeros(0), 0.0, np.zeros((0, 0), np.uint64), np.zeros(0), (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
+    if not n[0] or not n[1]:
+        return constant
+    spark = docs.sparkSession
+    once = F.broadcast(spark.createDataFrame([r[:2] for r in kept], f"doc_id {kind}, hash long"))  # at most about train_rows
+    bags_once = bags.join(once, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    counted = bags_once.select("y", F.explode("items").alias("item")).groupBy("item").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    odds = F.col("n1") / n[1] / ((F.col("n0") + 0.3) / n[0])
+    counted = materialise(counted.withColumn("odds", odds), "strings")
+    least = max(4, math.ceil(0.015 * n[1]))
+    strong = counted.where((F.col("n1") >= least) & (F.col("odds") >= 10)).orderBy(F.desc("n1"), "item").limit(TOXIC_STRINGS).collect()
+    if not strong:
+        return constant
+    marks, tables, need = gate([bytes(r.item) for r in strong])
+    # Frequent clean strings, and a sample by hash of the others.
+    plain = counted.where((F.col("n0") > 0) & (F.col("odds") < 1.5))
+    often = plain.orderBy(F.desc("n0"), "item").limit(CLEAN_STRINGS // 3).collect()
+    others = plain.orderBy(F.xxhash64("item"), "item").limit(CLEAN_STRINGS - CLEAN_STRINGS // 3).collect()
+    clean = list(dict.fromkeys(bytes(r.item) for r in often + others))
+
+    @F.arrow_udf("boolean")
+    def near(items: pa.Array) -> pa.Array:
+        return pa.array(passing(items.to_pylist(), tables, need))
+
+    hard_rows = counted.where("n0 > 0 and odds < 10").where(near("item")).orderBy(F.desc("n0"), "item").limit(HARD_STRINGS).collect()
+    hard = {bytes(r.item): r.n0 for r in hard_rows}
+
+    @F.arrow_udf("array<binary>")
+    def nearby(items: pa.Array) -> pa.Array:
+        lists = items.to_pylist()
+        flat = [x for xs in lists for x in xs]
+        good = iter(passing(flat, tables, need).tolist())
+        return pa.array([[x for x in xs if next(good)] for xs in lists], pa.list_(pa.binary()))
+
+    named = bags_once.where("y = 1").select("doc_id", "hash", nearby("items").alias("items")).where(F.size("items") > 0).collect()
+    toxic_bags = [[bytes(x) for x in r["items"]] for r in sorted(named, key=lambda r: (r.doc_id, r.hash))]
+    model = learn(marks, tables, need, {bytes(r.item): r.odds for r in strong}, clean, hard, toxic_bags)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, float] = {}
+        for batch in batches:
+            values = features(batch.column(1).to_pylist(), model, cache)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in values.T)], ["y", "f0", "f1", "f2", "f3"])
+
+    seen = texts.join(once, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("y", "text").mapInArrow(measured, "y int, f0 double, f1 double, f2 double, f3 double").collect()
+    table = np.array(sorted(tuple(r) for r in seen), dtype=float)
+    discard(bags, counted)
+    return model._replace(calibration=_logistic(table[:, 1:], table[:, 0]))
 
 
 def scores(texts: list[str | None], model: Model, cache: dict[bytes, float]) -> np.ndarray:
@@ -379,9 +471,11 @@ def scores(texts: list[str | None], model: Model, cache: dict[bytes, float]) ->
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    A null or empty text has no strings and gets the score of that. With no
-    labels to learn from all scores are equal. Only doc_id and text are read;
-    doc_id decides held_out and nothing else.
+    A null or empty text has no strings and gets the score of that; a text of
+    any length is scored whole; repeated rows each give a row, with equal
+    scores; an empty table gives none. With no labels to learn from all scores
+    are equal. Only doc_id (null: not held out) and text are read, whatever
+    other columns there are; doc_id decides held_out and nothing else.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
