@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import unused
 from corvane.llm.learn import bounded_sample, held_out
 
 DIM = 512
@@ -105,7 +106,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.
     Learns from at most about ``train_rows`` documents (a documented bound,
     chosen by a hash) that have a text and a language and aren't held out. The
     documents' vectors, each scaled to unit length, are summed on the
-    executors; the driver gets one vector for each task and language.
+    executors; the driver gets one vector for each language. An empty table
+    gives a model without languages. Repeated rows count each time.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(MOD, REST))
     ids = bounded_sample(usable.select("doc_id", "lang", "text"), train_rows)
@@ -147,24 +149,35 @@ def predict(texts: list[str | None], names: list[str], protos: np.ndarray) -> tu
     return [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], [float(x) if s else 0.0 for x, s in zip(score, some, strict=True)]
 
 
-def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language and its score as two more columns (of the given names).
+def of_text(model: tuple[list[str], np.ndarray], text: Column) -> Column:
+    """struct<lang, score>: the predicted language of a text.
 
     ``und`` with score 0 for a text that is null or has no letter, and for all
-    texts if nothing could be learned. Only the text is read for a prediction.
+    texts if nothing could be learned. Ties go to the language first in order.
     """
     names, protos = model
 
     @F.arrow_udf("struct<lang: string, score: double>")
-    def of(text: pa.Array) -> pa.Array:
-        lang, value = predict(text.to_pylist(), names, protos)
+    def of(texts: pa.Array) -> pa.Array:
+        lang, value = predict(texts.to_pylist(), names, protos)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64())], ["lang", "score"])
 
-    found = docs.withColumn("__lang", of(F.col("text")))
-    return found.select(*[found[c] for c in docs.columns], F.col("__lang.lang").alias(name), F.col("__lang.score").alias(score))
+    return of(text)
+
+
+def confident(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of at least ``least``; their columns stay as they are, whatever their names."""
+    held = unused("__language", docs)
+    found = docs.withColumn(held, of_text(model, F.col("text")))
+    return found.where((F.col(held)["lang"] != UNKNOWN) & (F.col(held)["score"] >= least)).drop(held)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``; doc_id decides held_out and nothing else."""
-    found = with_language(docs.select("doc_id", "text"), model, "lang_pred", "score")
-    return found.select("doc_id", held_out(MOD, REST).alias("held_out"), "lang_pred", "score")
+    """doc_id, held_out, lang_pred, score for every row of ``docs``.
+
+    Only doc_id (null: not held out) and text are read; doc_id decides held_out
+    and nothing else. Repeated rows each give a row; an empty table gives none;
+    a text of any length is read whole.
+    """
+    found = docs.select("doc_id", of_text(model, F.col("text")).alias("found"))
+    return found.select("doc_id", held_out(MOD, REST).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import unused
 from corvane.llm.learn import held_out, labelled_ids
 from corvane.llm.rules import SPACE, WINDOW
 
@@ -63,15 +64,15 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, struct: str = "__stats") -> DataFrame:
-    """``docs`` with a struct of the statistics of its texts."""
+def of_text(text: Column) -> Column:
+    """A struct of the statistics of a text."""
 
     @F.arrow_udf("struct<" + ", ".join(f"{s}: double" for s in STATISTICS) + ">")
-    def of(text: pa.Array) -> pa.Array:
-        cols = list(zip(*map(statistics, text.to_pylist()), strict=True)) or [()] * len(STATISTICS)
+    def of(texts: pa.Array) -> pa.Array:
+        cols = list(zip(*map(statistics, texts.to_pylist()), strict=True)) or [()] * len(STATISTICS)
         return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], list(STATISTICS))
 
-    return docs.withColumn(struct, of(F.col("text")))
+    return of(text)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -146,11 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """Learn from at most about ``train_rows`` labelled rows that aren't held out.
 
     The driver gets their statistics, never a text. With no labelled rows, or
-    labels of one kind, the model is a constant.
+    labels of one kind, the model is a constant. An id with several labels has
+    the greatest; of ties between thresholds the first is taken.
     """
     ids = labelled_ids(labels, "quality", MOD, REST, train_rows)
     bounded = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most about train_rows ids
-    rows = with_statistics(bounded).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "__stats.*").collect()
+    rows = bounded.select("doc_id", of_text(F.col("text")).alias("found")).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "found.*").collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), 2 + len(STATISTICS))
     y, x = (data[:, 1] > 0).astype(float), data[:, 2:]
     if not len(y):
@@ -162,25 +164,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(intercept, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
-def score(model: Model, struct: str = "__stats") -> Column:
-    """The model as a Spark column over the statistics."""
+def score(model: Model, found: Column) -> Column:
+    """The model as a Spark column over a struct of statistics."""
     z = F.lit(model.intercept)
     for rule, weight in model.rules:
         holds = F.lit(True)
         for name, op, value in rule:
-            x = F.col(f"{struct}.{name}")
-            holds &= x <= value if op == "<=" else x > value
+            holds &= found[name] <= value if op == "<=" else found[name] > value
         z += F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
-    """``docs`` with the score as one more column. A null or empty text has all statistics zero and is scored like any other."""
-    found = with_statistics(docs)
-    return found.select(*[found[c] for c in docs.columns], score(model).alias(name))
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score THRESHOLD at least; their columns stay as they are, whatever their names."""
+    held = unused("__statistics", docs)
+    return docs.withColumn(held, of_text(F.col("text"))).where(score(model, F.col(held)) >= THRESHOLD).drop(held)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; doc_id decides held_out and nothing else."""
-    scored = with_score(docs.select("doc_id", "text"), model, "score")
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Only doc_id (null: not held out) and text are read; doc_id decides held_out
+    and nothing else. A null or empty text has all statistics zero and is scored
+    like any other; texts of any length are read whole; repeated rows each give
+    a row, with equal scores; an empty table gives none.
+    """
+    scored = docs.select("doc_id", of_text(F.col("text")).alias("found")).select("doc_id", score(model, F.col("found")).alias("score"))
     return scored.select("doc_id", held_out(MOD, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
