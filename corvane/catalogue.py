@@ -6,6 +6,7 @@ from the semantics, as chains of common table expressions.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from corvane.functions import stub
 from corvane.functions import text as fx
 from corvane.operators import cleaning, decisions, gaps, keywords, metrics, parsing, ranges, refine, tokens
 from corvane.plans import pipelines, rounds
+from corvane.tables import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,9 +27,29 @@ CLOSERS = r'"\x27”’)\]»'
 START = r'\p{Lu}\p{Lt}\p{Lo}\p{So}\p{Nd}\p{Nl}"\x27(\[{<“‘«'
 
 
+#: Tables that the query at hand has written, by name.
+_SHARED: dict[str, DataFrame] = {}
+
+
+def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several steps of a query read: written once for each query, so that no step segments a text again."""
+    if name not in _SHARED:
+        _SHARED[name] = materialise(build(), name)
+    return _SHARED[name]
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            global _SHARED
+            outer, _SHARED = _SHARED, {}
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _SHARED = outer
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -138,19 +160,24 @@ def runs_sql(source: str, keys: str) -> str:
 
 
 def sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.hard_sentences(docs_of(spark, sf_dir))
+    """Sentences, split once. A query that needs them asks before it asks for counts, which are then taken from them."""
+    return shared("sentences", lambda: tokens.hard_sentences(docs_of(spark, sf_dir)))
 
 
 def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.sentence_counts(docs_of(spark, sf_dir))
+    def build() -> DataFrame:
+        docs = docs_of(spark, sf_dir)
+        return tokens.counts_of_sentences(docs, _SHARED["sentences"]) if "sentences" in _SHARED else tokens.sentence_counts(docs)
+
+    return shared("counts", build)
 
 
 def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_topics(stub.with_topic_response(counts_of(spark, sf_dir)), decode=False)
+    return shared("groups", lambda: parsing.parse_topics(stub.with_topic_response(counts_of(spark, sf_dir)), decode=False))
 
 
 def repaired_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.repair(groups_of(spark, sf_dir), counts_of(spark, sf_dir))
+    return shared("repaired", lambda: gaps.repair(groups_of(spark, sf_dir), counts_of(spark, sf_dir)))
 
 
 def flat(groups: DataFrame) -> DataFrame:
@@ -170,10 +197,11 @@ def collapse_whitespace(spark, sf_dir):
     return pages_of(spark, sf_dir).select("doc_id", fx.collapse_whitespace(F.replace("text", F.lit("<"), F.lit("  <\n\n\n\n"))).alias("clean"))
 
 
-@query(r"SELECT doc_id, NOT regexp_matches(substr(text, 1 + doc_id % 7, doc_id % 3), '[\p{L}\p{N}]') AS content_free FROM documents")
+@query(r"SELECT doc_id, NOT regexp_matches(text, '[\p{L}\p{N}]') AS content_free, NOT regexp_matches(regexp_replace(text, '[\p{L}\p{N}]', '', 'g'), '[\p{L}\p{N}]') AS emptied FROM documents")
 def content_free(spark, sf_dir):
-    part = F.col("text").substr(1 + F.col("doc_id") % 7, F.col("doc_id") % 3)
-    return docs_of(spark, sf_dir).select("doc_id", fx.content_free(part).alias("content_free"))
+    """Whole texts, and whole texts without their letters and digits, so that there are some without content."""
+    emptied = F.regexp_replace("text", r"[\p{L}\p{N}]", "")
+    return docs_of(spark, sf_dir).select("doc_id", fx.content_free(F.col("text")).alias("content_free"), fx.content_free(emptied).alias("emptied"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE substr(text, 1, 60) || '…' || right(text, 59) END AS fitted FROM documents")
@@ -231,13 +259,12 @@ def word_tokens(spark, sf_dir):
 
 @query(with_sql(SENTENCES, 'SELECT doc_id, idx, start_ AS start, end_ AS "end", text FROM sent'))
 def hard_sentences(spark, sf_dir):
-    return sentences_of(spark, sf_dir)
+    return tokens.hard_sentences(docs_of(spark, sf_dir))
 
 
 @query(with_sql(SENTENCES, "SELECT d.doc_id, coalesce(string_agg('{' || idx || '} ' || s.text, chr(10) ORDER BY idx), '{0} ' || any_value(d.text)) AS tagged_text, CAST(greatest(count(idx), 1) AS BIGINT) AS n_items FROM documents d LEFT JOIN sent s USING (doc_id) GROUP BY d.doc_id"))
 def mark_sentences(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return tokens.mark_sentences(docs, tokens.hard_sentences(docs))
+    return tokens.mark_sentences(docs_of(spark, sf_dir), tokens.hard_sentences(docs_of(spark, sf_dir)))
 
 
 _MARKED_WORDS = rf"mw AS (SELECT doc_id, l, coalesce(array_to_string(list_transform(l, lambda x, i: '{{' || (i - 1) || '}} ' || x), ' '), '') AS tagged_text FROM (SELECT doc_id, regexp_extract_all(text, '[^{W}]+') AS l FROM documents))"
@@ -256,7 +283,7 @@ def chunk_markers(spark, sf_dir):
 @query(with_sql(SENTENCES, rf"""SELECT doc_id, idx, CASE WHEN regexp_full_match(t, '(\d{{1,3}}|[a-zA-Z]|[ivxIVX]{{1,5}})[.)]') THEN 'list_marker' WHEN regexp_full_match(t, '[^\p{{L}}\p{{N}}_{W}.!?…]{{1,5}}') THEN 'bridge' WHEN regexp_matches(t, '[\p{{L}}\p{{N}}]') THEN 'content' ELSE 'blank' END AS kind
 FROM (SELECT doc_id, idx, regexp_replace(regexp_replace(regexp_replace(text, '[\p{{C}}\p{{Zl}}\p{{Zp}}]', '', 'g'), '[{fx.LINE_SPACE}]+', ' ', 'g'), '^[{W}]+|[{W}]+$', '', 'g') AS t FROM sent)"""))
 def sentence_signal_kind(spark, sf_dir):
-    return sentences_of(spark, sf_dir).select("doc_id", "idx", fx.signal_kind(F.col("text")).alias("kind"))
+    return tokens.hard_sentences(docs_of(spark, sf_dir)).select("doc_id", "idx", fx.signal_kind(F.col("text")).alias("kind"))
 
 
 def _violations(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -413,7 +440,7 @@ _SECTIONS = [
 def sections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = counts_of(spark, sf_dir)
     gaps_ = counts.where("n > 1").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int") - 1)).alias("idx"))
-    return decisions.sections(gaps_.withColumn("probability", stub.split_probability(F.col("doc_id"), F.col("idx"))), counts)
+    return shared("sections", lambda: decisions.sections(gaps_.withColumn("probability", stub.split_probability(F.col("doc_id"), F.col("idx"))), counts))
 
 
 @query(with_sql(_SECTIONS, "SELECT * FROM sec"))
@@ -448,7 +475,8 @@ def gap_ownership(spark, sf_dir):
 
 
 def resolved_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.resolve(groups_of(spark, sf_dir), counts_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return shared("resolved", lambda: gaps.resolve(groups_of(spark, sf_dir), counts_of(spark, sf_dir), sentences))
 
 
 @query(with_sql(HOLES, "SELECT doc_id, idx, prev_gi, next_gi, owner FROM res"))
@@ -466,8 +494,9 @@ _CONTEXT = [
 
 @query(with_sql(_CONTEXT, "SELECT doc_id, idx, side, string_agg(text, chr(10) ORDER BY at_) AS context FROM nr WHERE run = first AND rank <= 3 GROUP BY doc_id, idx, side"))
 def gap_context(spark, sf_dir):
+    sentences = sentences_of(spark, sf_dir)
     pending = resolved_of(spark, sf_dir).where("owner is null")
-    return gaps.context(pending, gaps.ownership(groups_of(spark, sf_dir)), sentences_of(spark, sf_dir))
+    return gaps.context(pending, gaps.ownership(groups_of(spark, sf_dir)), sentences)
 
 
 _LLM_REPAIR = [
@@ -483,6 +512,7 @@ _LLM_REPAIR = [
 
 @query(with_sql(_LLM_REPAIR, "SELECT doc_id, gi, ri, label, s, e FROM rr JOIN lb USING (doc_id, gi)"))
 def gap_llm_repair(spark, sf_dir):
+    sentences_of(spark, sf_dir)  # the counts come from these
     resolved = resolved_of(spark, sf_dir)
     answers = resolved.where("owner is null").select("doc_id", "idx", stub.gap_answer(F.col("doc_id"), F.col("idx")).alias("answer"))
     return flat(gaps.apply_answers(groups_of(spark, sf_dir), resolved, answers))
@@ -507,7 +537,8 @@ _SHORT = [
 
 @query(with_sql(_SHORT, "SELECT doc_id, idx, from_gi, to_gi, seq FROM sc"))
 def short_sentence_candidates(spark, sf_dir):
-    return refine.short_candidates(refine.owners(repaired_of(spark, sf_dir)), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return refine.short_candidates(refine.owners(repaired_of(spark, sf_dir)), sentences)
 
 
 @query(with_sql([*_SHORT,
@@ -517,8 +548,9 @@ def short_sentence_candidates(spark, sf_dir):
     f"rr AS ({runs_sql('no', 'doc_id, gi')})",
     "lb AS (SELECT DISTINCT doc_id, gi, array_to_string(label, '>') AS label FROM rp)"], "SELECT doc_id, gi, ri, label, s, e FROM rr JOIN lb USING (doc_id, gi)"))
 def short_sentence_reassign(spark, sf_dir):
+    sentences = sentences_of(spark, sf_dir)
     groups = repaired_of(spark, sf_dir)
-    asked = refine.short_candidates(refine.owners(groups), sentences_of(spark, sf_dir))
+    asked = refine.short_candidates(refine.owners(groups), sentences)
     answer = F.element_at(F.array(F.lit("PREVIOUS"), F.lit("NEXT"), F.lit("?")), ((F.col("doc_id") + F.col("seq")) % 3 + 1).cast("int"))
     return flat(refine.apply_reassignments(groups, asked, asked.select("doc_id", "seq", answer.alias("answer"))))
 
@@ -529,7 +561,8 @@ def short_sentence_reassign(spark, sf_dir):
     "lt AS (SELECT doc_id, hi AS idx, string_agg(text, chr(10) ORDER BY lx.idx) AS left_text FROM lx WHERE back <= 3 GROUP BY doc_id, hi)",
     "rt AS (SELECT doc_id, lo - 1 AS idx, string_agg(text, chr(10) ORDER BY lx.idx) AS right_text FROM lx WHERE fwd <= 3 GROUP BY doc_id, lo)"], "SELECT doc_id, bd.idx, left_text, right_text FROM bd JOIN lt USING (doc_id, idx) JOIN rt USING (doc_id, idx)"))
 def boundary_context(spark, sf_dir):
-    return refine.boundary_context(refine.owners(repaired_of(spark, sf_dir)), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return refine.boundary_context(refine.owners(repaired_of(spark, sf_dir)), sentences)
 
 
 @query()
@@ -557,7 +590,8 @@ def adjacent_join(spark, sf_dir):
 
 @query(with_sql([*REPAIRED, "ps AS (SELECT rp.doc_id, gi, rp.s, rp.e, idx, start_, end_, text FROM (SELECT doc_id, gi, s, e, unnest(range(s, e + 1)) AS idx FROM rp) rp JOIN sent USING (doc_id, idx))", "pj AS (SELECT doc_id, gi, s, e, min(start_) AS a, max(end_) AS z, trim(string_agg(text, ' ' ORDER BY idx)) AS text FROM ps GROUP BY doc_id, gi, s, e)"], 'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY gi, s, e) - 1 AS INTEGER) AS idx, gi, a AS start, z AS "end", text FROM pj'))
 def sentence_join(spark, sf_dir):
-    return refine.join_sentences(repaired_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return refine.join_sentences(repaired_of(spark, sf_dir), sentences)
 
 
 @query(with_sql([*LINES,
@@ -600,12 +634,12 @@ def html_segments(spark, sf_dir):
     return cleaning.clean_table(pages_of(spark, sf_dir)).select("doc_id", F.explode("segments").alias("g")).select("doc_id", "g.*")
 
 
-@query(with_sql([*_HTML, "qs AS (SELECT doc_id, unnest(range(0, length(text) + 1, 37)) AS pos FROM cl UNION ALL SELECT doc_id, length(text) FROM cl)", "k AS (SELECT page_id AS doc_id, length(html) AS ol FROM pages)"], """SELECT q.doc_id, CAST(q.pos AS INTEGER) AS clean, CAST(CASE WHEN q.pos = length(cl.text) THEN ol ELSE q.pos + original_offset - clean_offset END AS INTEGER) AS original
+@query(with_sql([*_HTML, "qs AS (SELECT doc_id, unnest(range(0, length(text) + 1)) AS pos FROM cl)", "k AS (SELECT page_id AS doc_id, length(html) AS ol FROM pages)"], """SELECT q.doc_id, CAST(q.pos AS INTEGER) AS clean, CAST(CASE WHEN q.pos = length(cl.text) THEN ol ELSE q.pos + original_offset - clean_offset END AS INTEGER) AS original
 FROM qs q ASOF JOIN seg ON q.doc_id = seg.doc_id AND q.pos >= seg.clean_offset JOIN cl ON cl.doc_id = q.doc_id JOIN k ON k.doc_id = q.doc_id"""))
 def offset_restore(spark, sf_dir):
-    cleaned = cleaning.clean_table(pages_of(spark, sf_dir))
+    cleaned = shared("cleaned", lambda: cleaning.clean_table(pages_of(spark, sf_dir)))
     n = F.col("clean_length")
-    spots = cleaned.where("size(segments) > 0").select("doc_id", F.explode(F.concat(F.sequence(F.lit(0), n, F.lit(37)), F.array(n))).alias("clean")).withColumn("original", F.col("clean"))
+    spots = cleaned.where("size(segments) > 0").select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("clean")).withColumn("original", F.col("clean"))
     return cleaning.restore(spots, cleaned, "original")
 
 
@@ -629,8 +663,7 @@ _SPANS = [
 
 
 def keyword_spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
-    return keywords.build(keyword_ranges_of(spark, sf_dir), tokens.word_tokens(docs), docs)
+    return shared("spans", lambda: keywords.build(keyword_ranges_of(spark, sf_dir), docs_of(spark, sf_dir)))
 
 
 @query(with_sql(_SPANS, 'SELECT doc_id, a AS start, z AS "end", substr(text, a + 1, z - a) AS text FROM ks JOIN documents USING (doc_id)'))
@@ -643,17 +676,14 @@ _FREE = [*_SPANS, "fw AS (SELECT w.doc_id, w.idx FROM (SELECT doc_id, unnest(ran
 
 @query(with_sql([*_FREE, f"fr AS ({runs_sql('fw', 'doc_id')})"], "SELECT doc_id, ri, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM fr WHERE e - s + 1 >= 20"))
 def keyword_gaps(spark, sf_dir):
-    return keywords.gaps(tokens.word_tokens(docs_of(spark, sf_dir)), keyword_spans_of(spark, sf_dir), 20)
+    return keywords.gaps(docs_of(spark, sf_dir), keyword_spans_of(spark, sf_dir), 20).select("doc_id", "ri", "s", "e")
 
 
 @query(with_sql([*_FREE, f"fr AS ({runs_sql('fw', 'doc_id')})", f"nk AS (SELECT doc_id, {_offset('2 * s + ws')} AS a, {_offset('2 * s + ws + 1')} AS z FROM fr JOIN kt USING (doc_id) WHERE e - s + 1 >= 20)", "al AS (SELECT doc_id, a, z FROM ks UNION ALL SELECT doc_id, a, z FROM nk)"], 'SELECT doc_id, a AS start, z AS "end", substr(text, a + 1, z - a) AS text FROM al JOIN documents USING (doc_id)'))
 def keyword_merge(spark, sf_dir):
     """The first word of every long gap becomes a keyword."""
-    docs = docs_of(spark, sf_dir)
-    words, old = tokens.word_tokens(docs), keyword_spans_of(spark, sf_dir)
-    found = keywords.gaps(words, old, 20).select("doc_id", F.col("s").alias("idx"))
-    new = words.join(found, ["doc_id", "idx"]).select("doc_id", F.col("idx").cast("long").alias("seq"), "start", "end", "text")
-    return keywords.merge(old, new)
+    old = keyword_spans_of(spark, sf_dir)
+    return keywords.merge(old, keywords.first_words(keywords.gaps(docs_of(spark, sf_dir), old, 20)))
 
 
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -690,14 +720,18 @@ _BODIES = [*_SECTIONS, rf"bo AS (SELECT doc_id, ri, {_squeezed('string_agg(text,
 
 @query(with_sql(_BODIES, "SELECT doc_id, ri, body FROM bf"))
 def section_bodies(spark, sf_dir):
-    return decisions.bodies(sections_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return decisions.bodies(sections_of(spark, sf_dir), sentences)
 
 
-@query(with_sql(_SECTIONS, "SELECT doc_id, ri, CAST(ri // 7 AS INTEGER) AS batch, CAST(ri % 7 + 1 AS INTEGER) AS number FROM sec"))
+@query(with_sql([*_BODIES,
+    "lc AS (SELECT doc_id, ri, length(body) + 8 AS k FROM bf)",
+    "lp AS (WITH RECURSIVE go AS (SELECT doc_id, ri, 0 AS batch, 1 AS number, k AS chars FROM lc WHERE ri = 0 UNION ALL SELECT c.doc_id, c.ri, CASE WHEN number >= 60 OR chars + c.k > 9000 THEN batch + 1 ELSE batch END, CASE WHEN number >= 60 OR chars + c.k > 9000 THEN 1 ELSE number + 1 END, CASE WHEN number >= 60 OR chars + c.k > 9000 THEN c.k ELSE chars + c.k END FROM go JOIN lc c ON c.doc_id = go.doc_id AND c.ri = go.ri + 1) SELECT * FROM go)"],
+    "SELECT doc_id, ri, CAST(batch AS INTEGER) AS batch, CAST(number AS INTEGER) AS number FROM lp"))
 def label_batches(spark, sf_dir):
-    """Bodies short enough for the count of sections to be what limits a batch."""
-    parts = decisions.bodies(sections_of(spark, sf_dir), sentences_of(spark, sf_dir), 100)
-    return decisions.label_batches(parts, 100_000, 7)
+    """Whole bodies packed into requests of 9000 characters and 60 sections at most; both limits are reached."""
+    sentences = sentences_of(spark, sf_dir)
+    return decisions.label_batches(decisions.bodies(sections_of(spark, sf_dir), sentences), 9000)
 
 
 @query(with_sql(_SECTIONS, "SELECT doc_id, string_agg('Topic>Section ' || (ri % 3) || ': ' || s || '-' || e, chr(10) ORDER BY ri) AS response FROM sec GROUP BY doc_id"))
@@ -719,7 +753,8 @@ def metrics_ranges(spark, sf_dir):
 
 @query(with_sql([*_POS, "sz AS (SELECT doc_id, topic, count(*) AS k, sum(length(text)) AS c FROM ps JOIN sent USING (doc_id, idx) GROUP BY doc_id, topic)", "rg AS (SELECT doc_id, array_to_string(label, '>') AS topic, count(*) AS r FROM grp GROUP BY ALL)"], "SELECT doc_id, topic, CAST(k AS BIGINT) AS n_sentences, CAST(r AS BIGINT) AS n_ranges, CAST(c AS BIGINT) AS clean_chars FROM rg JOIN sz USING (doc_id, topic)"))
 def metrics_topics(spark, sf_dir):
-    return metrics.topics(groups_of(spark, sf_dir), counts_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    sentences = sentences_of(spark, sf_dir)
+    return metrics.topics(groups_of(spark, sf_dir), counts_of(spark, sf_dir), sentences)
 
 
 @query(with_sql([*_POS, "cv AS (SELECT doc_id, count(*) AS c, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS m FROM (SELECT doc_id, idx, count(*) AS k FROM ps GROUP BY doc_id, idx) GROUP BY doc_id)"], "SELECT doc_id, n, CAST(coalesce(c, 0) AS BIGINT) AS n_covered, CAST(n - coalesce(c, 0) AS BIGINT) AS n_uncovered, CAST(coalesce(m, 0) AS BIGINT) AS n_multiple, CASE WHEN n > 0 THEN coalesce(c, 0) / n ELSE 0 END AS coverage FROM cnt LEFT JOIN cv USING (doc_id)"))
@@ -785,9 +820,13 @@ def corpus_mismatch(spark, sf_dir):
     return metrics.corpus_mismatch(d.select("id", F.sha2("text", 256).alias("sha256")), d.where("id % 17 <> 0").select("id", F.sha2(changed, 256).alias("sha256")))
 
 
-@query(with_sql([_RUNS], "SELECT document_id, quantile_cont(elapsed_seconds, 0.5) FILTER (label = 'click') AS click, quantile_cont(elapsed_seconds, 0.5) FILTER (label = 'view') AS view FROM rn WHERE status = 'ok' GROUP BY document_id"))
-def compare_pivot(spark, sf_dir):
-    return metrics.compare(runs_of(spark, sf_dir), ["click", "view"])
+@query(with_sql([_RUNS, "fs AS (SELECT document_id, min(rowid_) AS seen FROM (SELECT user_id % 50 AS document_id, event_id AS rowid_ FROM events) GROUP BY document_id)"], """SELECT r.document_id, CAST(row_number() OVER (ORDER BY any_value(seen)) - 1 AS INTEGER) AS place, map_from_entries(list((label, m) ORDER BY label)) AS medians FROM (SELECT document_id, label, round(quantile_cont(elapsed_seconds, 0.5), 6) AS m FROM rn WHERE status = 'ok' GROUP BY document_id, label) r JOIN fs USING (document_id) GROUP BY r.document_id""").replace("map_from_entries(list((label, m) ORDER BY label))", "string_agg(label || '=' || CAST(m AS DECIMAL(18, 6)), ',' ORDER BY label)"))
+def compare_runs(spark, sf_dir):
+    """Every run label's median for each document, documents in the order in which they are first seen."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("document_id"), F.col("event_id").alias("seen"))
+    out = metrics.compare(runs_of(spark, sf_dir), e)
+    shown = F.transform("medians", lambda x: F.concat(x["label"], F.lit("="), F.round(x["median"], 6).cast("decimal(18,6)").cast("string")))
+    return out.select("document_id", "place", F.array_join(shown, ",").alias("medians"))
 
 
 # --- pipelines and cache ---------------------------------------------------------

@@ -1,45 +1,131 @@
-"""Keyword spans over numbered words."""
+"""Keyword spans over numbered words.
+
+Words are found in the document's own row and looked up there, so only ranges
+and spans are grouped by document; no table of words is ever shuffled.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.ranges import from_indices
+from corvane.functions.segment import Span, words
+
+_SPAN = "doc_id {}, start int, end int, text string"
+
+
+def _in_rows(docs: DataFrame, listed: DataFrame, each: Callable[[str, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that ``each(text, list)`` gives for every document with its list (column ``l`` of ``listed``, by doc_id; none: empty)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = [f.split()[0] for f in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "string": pa.string()}.get(f.split()[1]) for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (text, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                new = list(each(text or "", found or []))
+                at += [i] * len(new)
+                rows += new
+            cols = list(zip(*rows, strict=True)) or [()] * (len(fields) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], fields)
 
-def build(ranges: DataFrame, words: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", "text", "l").mapInArrow(run, schema.format(kind))
+
+
+def build(ranges: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, start, end, text of index ranges (s, e); those outside the words are left out."""
-    first = words.select("doc_id", F.col("idx").cast("long").alias("s"), "start")
-    last = words.select("doc_id", F.col("idx").cast("long").alias("e"), "end")
-    spans = ranges.join(first, ["doc_id", "s"]).join(last, ["doc_id", "e"]).select("doc_id", "start", "end")
-    text = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", text.alias("text"))
+
+    def each(text: str, found: list) -> Iterator[tuple]:
+        own = words(text) if found else []
+        for r in found:
+            if 0 <= r["s"] <= r["e"] < len(own):
+                start, end = own[r["s"]][0], own[r["e"]][1]
+                yield start, end, text[start:end]
+
+    return _in_rows(docs, ranges.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("l")), each, _SPAN)
 
 
-def gaps(words: DataFrame, keywords: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, ri, s, e: runs of at least ``least`` words that no keyword overlaps."""
-    k = keywords.select(F.col("doc_id").alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    free = words.join(k, (F.col("doc_id") == F.col("__d")) & (F.col("end") > F.col("__s")) & (F.col("start") < F.col("__e")), "left_anti")
-    return from_indices(free.select("doc_id", "idx"), "doc_id").where(F.col("e") - F.col("s") + 1 >= least)
+def open_runs(own: list[Span], taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """Runs (first and last word) of words that no span overlaps: one pass, the spans' reach looked up by bisection."""
+    taken = sorted(taken)
+    starts, reach, end = [s for s, _ in taken], [], -1
+    for _, e in taken:
+        end = max(end, e)
+        reach.append(end)
+    begin = None
+    for i, (s, e) in enumerate(own):
+        k = bisect_right(starts, e - 1)
+        if k and reach[k - 1] > s:
+            if begin is not None:
+                yield begin, i - 1
+            begin = None
+        elif begin is None:
+            begin = i
+    if begin is not None:
+        yield begin, len(own) - 1
+
+
+def gaps(docs: DataFrame, keywords: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, ri, s, e, start, end, text: runs of at least ``least`` words that no keyword overlaps, with their first word's span and their text."""
+
+    def each(text: str, found: list) -> Iterator[tuple]:
+        own = words(text)
+        for ri, (s, e) in enumerate((s, e) for s, e in open_runs(own, [(k["start"], k["end"]) for k in found]) if e - s + 1 >= least):
+            yield ri, s, e, *own[s], text[own[s][0] : own[e][1]]
+
+    listed = keywords.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("l"))
+    return _in_rows(docs, listed, each, "doc_id {}, ri int, s int, e int, start int, end int, text string")
+
+
+def first_words(runs: DataFrame) -> DataFrame:
+    """doc_id, seq, start, end, text: the first word of every run."""
+    return runs.select("doc_id", F.col("s").cast("long").alias("seq"), "start", "end", F.col("text").substr(F.lit(1), F.col("end") - F.col("start")).alias("text"))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old`` and those of ``new`` (in order of their column seq) that overlap nothing accepted before.
 
-    The order makes it a fold; it runs over one document's new keywords at a time.
+    The order makes it a fold over one document's keywords; what is accepted is kept sorted and looked up by bisection.
     """
-    o = old.select(F.col("doc_id").alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    free = new.join(o, (F.col("doc_id") == F.col("__d")) & (F.col("end") > F.col("__s")) & (F.col("start") < F.col("__e")), "left_anti")
-    rows = free.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))).alias("l"))
-    kind = "array<struct<seq: bigint, start: int, end: int, text: string>>"
-
-    def take(acc, k):
-        clash = F.exists(acc, lambda x: (k["end"] > x["start"]) & (k["start"] < x["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(k).cast(kind)))
-
-    kept = rows.select("doc_id", F.explode(F.aggregate("l", F.array().cast(kind), take)).alias("k")).select("doc_id", "k.start", "k.end", "k.text")
-    return old.select("doc_id", "start", "end", "text").unionByName(kept)
+    tagged = old.select("doc_id", "start", "end", "text", F.lit(None).cast("long").alias("seq")).unionByName(new.select("doc_id", "start", "end", "text", F.col("seq").cast("long").alias("seq")))
+    listed = tagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))).alias("l"))
+    kind = old.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                for k in accepted(found):
+                    at.append(i)
+                    rows.append((k["start"], k["end"], k["text"]))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string()), strict=True))], ["doc_id", "start", "end", "text"])
+
+    return listed.select("doc_id", "l").mapInArrow(run, _SPAN.format(kind))
+
+
+def accepted(found: list[dict]) -> list[dict]:
+    """Spans without seq, whatever they overlap, and those with one, in order, that overlap nothing accepted."""
+    old = [k for k in found if k["seq"] is None]
+    out, starts, ends = list(old), [], []
+    for s, e in sorted((k["start"], k["end"]) for k in old):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    for k in sorted((k for k in found if k["seq"] is not None), key=lambda k: (k["seq"], k["start"], k["end"])):
+        i = bisect_right(starts, k["end"] - 1)
+        if not (i and ends[i - 1] > k["start"]):
+            starts.insert(i, k["start"])
+            ends.insert(i, k["end"])
+            out.append(k)
+    return out
 
 
 def highlight(docs: DataFrame, keywords: DataFrame) -> DataFrame:

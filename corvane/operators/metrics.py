@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ranges import coalesce
+
 BINS = 10
 
 
@@ -30,15 +32,6 @@ def topics(groups: DataFrame, counts: DataFrame, sentences: DataFrame) -> DataFr
     return ranges.join(sizes, ["doc_id", "topic"], "left").select("doc_id", "topic", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), "n_ranges", F.coalesce("clean_chars", F.lit(0)).alias("clean_chars"))
 
 
-def coverage(groups: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, n, n_covered, n_uncovered, n_multiple, coverage for every document of ``counts``."""
-    at = positions(groups, counts).groupBy("doc_id", "idx").agg(F.count("*").alias("k"))
-    agg = at.groupBy("doc_id").agg(F.count("*").alias("n_covered"), F.sum((F.col("k") > 1).cast("long")).alias("n_multiple"))
-    out = counts.select("doc_id", "n").join(agg, "doc_id", "left").na.fill(0, ["n_covered", "n_multiple"])
-    rate = F.when(F.col("n") > 0, F.col("n_covered") / F.col("n")).otherwise(0.0)
-    return out.select("doc_id", "n", "n_covered", (F.col("n") - F.col("n_covered")).alias("n_uncovered"), "n_multiple", rate.alias("coverage"))
-
-
 def hierarchy(groups: DataFrame) -> DataFrame:
     """doc_id, path, n_children for every label prefix, the root (empty) included."""
     labels = groups.select("doc_id", "label").distinct()
@@ -103,6 +96,26 @@ def corpus_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def compare(runs: DataFrame, labels: list[str]) -> DataFrame:
-    """document_id and the median latency of each run label side by side."""
-    return runs.where(ok()).groupBy("document_id").pivot("label", labels).agg(F.percentile("elapsed_seconds", F.lit(0.5)))
+def compare(runs: DataFrame, seen: DataFrame) -> DataFrame:
+    """document_id, place, medians (array of struct<label, median>, by label): every run label's median latency.
+
+    ``seen`` has (document_id, seen); documents are numbered from 0 in the order of their least ``seen``.
+    """
+    first = seen.groupBy("document_id").agg(F.min("seen").alias("seen"))
+    each = runs.where(ok()).groupBy("document_id", "label").agg(F.percentile("elapsed_seconds", F.lit(0.5)).alias("median"))
+    rows = each.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("label", "median"))).alias("medians")).join(first, "document_id")
+    return rows.select("document_id", (F.row_number().over(Window.orderBy("seen")) - 1).cast("int").alias("place"), "medians")
+
+
+def coverage(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, n, n_covered, n_uncovered, n_multiple, coverage for every document of ``counts``: a sweep over the ends of ranges, without a row for each sentence."""
+    rows = groups.join(counts.select("doc_id", "n"), "doc_id").where("s >= 0 and s <= e and e < n").select("doc_id", F.array_join("label", ">").alias("topic"), "s", "e")
+    rows = coalesce(rows, "doc_id", "topic")  # a topic has a sentence once
+    steps = rows.select("doc_id", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy("doc_id", "x.at").agg(F.sum("x.d").alias("d"))
+    order = Window.partitionBy("doc_id").orderBy("at")
+    spans = steps.select("doc_id", F.sum("d").over(order).alias("depth"), (F.lead("at").over(order) - F.col("at")).alias("k"))
+    agg = spans.groupBy("doc_id").agg(F.sum(F.when(F.col("depth") > 0, F.col("k"))).alias("n_covered"), F.sum(F.when(F.col("depth") > 1, F.col("k"))).alias("n_multiple"))
+    out = counts.select("doc_id", "n").join(agg, "doc_id", "left").na.fill(0, ["n_covered", "n_multiple"])
+    rate = F.when(F.col("n") > 0, F.col("n_covered") / F.col("n")).otherwise(0.0)
+    return out.select("doc_id", "n", F.col("n_covered").cast("long").alias("n_covered"), (F.col("n") - F.col("n_covered")).cast("long").alias("n_uncovered"), F.col("n_multiple").cast("long").alias("n_multiple"), rate.alias("coverage"))

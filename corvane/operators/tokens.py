@@ -77,6 +77,12 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long")
 
 
+def counts_of_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """As ``sentence_counts``, from sentences that are there already; no text is read."""
+    n = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def mark_sentences(docs: DataFrame, sentences: DataFrame, optimise: bool = False) -> DataFrame:
     """doc_id, tagged_text, n_items: one numbered line for each sentence; a text without sentences is line 0 unless blank."""
     text = normalise(F.col("text")) if optimise else F.col("text")
