@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corvane.functions import stub
 from corvane.functions import text as fx
 from corvane.operators import cleaning, decisions, gaps, keywords, metrics, parsing, ranges, refine, tokens
-from corvane.plans import pipelines, rounds
-from corvane.tables import materialise
+from corvane.plans import pipelines, rounds, sessions
+from corvane.tables import materialise, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -863,7 +863,7 @@ def keyword_pipeline(spark, sf_dir):
     return pipelines.keyword_pipeline(docs_of(spark, sf_dir), keyword_ranges_of(spark, sf_dir))
 
 
-_KEYED = "ck AS (SELECT conv_id, turn, text, sha256(concat_ws(chr(31), '1', role, 'm', 'v1', '0.0', text)) AS key FROM conversations)"
+_KEYED = """ck AS (SELECT conv_id, turn, sha256('{"model_id":"m","namespace":' || to_json(role) || ',"prompt":' || coalesce(to_json(text), 'null') || ',"prompt_version":null,"temperature":0.0,"version":1}') AS key FROM conversations)"""
 
 
 @query(with_sql([_KEYED], "SELECT conv_id, turn, key FROM ck"))
@@ -873,7 +873,7 @@ def cache_keys(spark, sf_dir):
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.withColumn("key", rounds.cache_key(F.col("role"), F.lit("m"), F.lit("v1"), F.col("text"), F.lit(0.0)))
+    return c.withColumn("key", rounds.cache_key(F.col("role"), F.lit("m"), F.lit(None).cast("string"), F.col("text"), F.lit(0.0)))
 
 
 @query(with_sql([_KEYED], "SELECT DISTINCT key FROM ck WHERE key NOT IN (SELECT key FROM ck WHERE conv_id % 3 = 0)"))
@@ -888,3 +888,72 @@ def cache_lookup(spark, sf_dir):
 def cache_upsert(spark, sf_dir):
     rows = _keyed(spark, sf_dir).select("key", F.col("text").alias("response"), (F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"))
     return rounds.upserted(rows).select("key", "created_at")
+
+
+# --- sessions ------------------------------------------------------------------
+
+
+def _stubbed(counts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Answers of the stand-in to every kind of request."""
+
+    def answer(requests: DataFrame) -> DataFrame:
+        rows = requests.join(counts, "doc_id")
+        topic = F.when(F.col("seq") == 0, stub.topic_response(F.col("doc_id"), F.col("n")))
+        pick = F.element_at(F.array(F.lit("PREVIOUS"), F.lit("NEXT"), F.lit("?")), ((F.col("doc_id") + F.col("seq")) % 3 + 1).cast("int"))
+        answers = {"topic-range": topic, "insight": topic, "gap": stub.gap_answer(F.col("doc_id"), F.col("seq")), "reassign": pick, "boundary": stub.shift_answer(F.col("doc_id"), F.col("seq"))}
+        content = F.coalesce(*[F.when(F.col("namespace") == k, v) for k, v in answers.items()])
+        return rows.select("doc_id", "seq", content.alias("content"))
+
+    return answer
+
+
+@query(with_sql([*_LLM_REPAIR, "gl AS (SELECT doc_id, gi, ri, string_split(label, '>') AS label, s, e FROM rr JOIN lb USING (doc_id, gi))", *_merged("gl")], "SELECT doc_id, gi, ri, array_to_string(label, '>') AS label, s, e FROM m3 JOIN mg USING (doc_id, key)"))
+def segment_session(spark, sf_dir):
+    """Topics by a session of two rounds: ranges, then the owners of what they leave out."""
+    docs = docs_of(spark, sf_dir)
+    counts = shared("counts", lambda: tokens.sentence_counts(docs))
+    return flat(sessions.drive(sessions.segmented(docs, gap="ask", most=1 << 30, decode=False), _stubbed(counts)).groups)
+
+
+@query(ORACLE_SQL["gap_repair"])
+def prepare_finalize(spark, sf_dir):
+    """Requests prepared and answered apart from the rest."""
+    docs, path = docs_of(spark, sf_dir), scratch(spark, "prepared")
+    requests = sessions.prepare(docs, path, most=1 << 30)
+    return flat(sessions.finalize(spark, path, _stubbed(spark.read.parquet(f"{path}/counts"))(requests), decode=False).groups)
+
+
+@query(INSIGHTS and ORACLE_SQL["insight_pipeline"])
+def insight_session(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    counts = shared("counts", lambda: tokens.sentence_counts(docs))
+    return sessions.drive(sessions.insights(docs, most=1 << 30), _stubbed(counts)).groups
+
+
+@query(ORACLE_SQL["keyword_merge"])
+def keyword_session(spark, sf_dir):
+    """Keywords by two rounds; the second asks about long gaps, of which the stand-in names the first word."""
+    docs = docs_of(spark, sf_dir)
+    n = shared("n", lambda: tokens.mark_words(docs).select("doc_id", F.col("n_items").alias("n")))
+    rounds_seen = []
+
+    def answer(requests: DataFrame) -> DataFrame:
+        rounds_seen.append(1)
+        content = stub.keyword_response(F.col("n")) if len(rounds_seen) == 1 else F.lit("0")
+        return requests.join(n, "doc_id").select("doc_id", "seq", content.alias("content"))
+
+    return sessions.drive(sessions.keyworded(docs, most=1 << 30), answer).groups
+
+
+@query(with_sql(_SECTIONS, "SELECT doc_id, ri, 'Topic>Section ' || (number - 1) % 3 AS label FROM (SELECT doc_id, ri, row_number() OVER (PARTITION BY doc_id ORDER BY ri) AS number FROM sec) WHERE number % 4 <> 0 UNION ALL SELECT doc_id, ri, 'Topic>Section ' || (again - 1) % 3 FROM (SELECT doc_id, ri, row_number() OVER (PARTITION BY doc_id ORDER BY ri) AS again FROM (SELECT doc_id, ri, row_number() OVER (PARTITION BY doc_id ORDER BY ri) AS number FROM sec) WHERE number % 4 = 0) WHERE again % 4 <> 0"))
+def label_session(spark, sf_dir):
+    """Labels in two rounds: the stand-in leaves out every fourth section of a request, and the second round asks about those."""
+    sentences = sentences_of(spark, sf_dir)
+    bodies = decisions.bodies(sections_of(spark, sf_dir), sentences, 100)
+
+    def answer(requests: DataFrame) -> DataFrame:
+        numbers = F.regexp_extract_all("prompt", F.lit(r"(?m)^\[([0-9]+)\] "), F.lit(1))
+        line = lambda k: F.concat(k, F.lit(": Topic>Section "), ((k.cast("int") - 1) % 3).cast("string"))
+        return requests.select("doc_id", "seq", F.array_join(F.transform(F.filter(numbers, lambda k: k.cast("int") % 4 != 0), line), "\n").alias("content"))
+
+    return flat(sessions.drive(sessions.labelled(bodies, 1, 1 << 30, 1 << 30), answer).groups)

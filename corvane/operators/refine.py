@@ -35,6 +35,16 @@ def short_candidates(owned: DataFrame, sentences: DataFrame, shortest: int = 40)
     return sides.join(brief, ["doc_id", "idx"], "left_semi")
 
 
+def reassign_context(asked: DataFrame, owned: DataFrame, sentences: DataFrame, window: int = 3) -> DataFrame:
+    """doc_id, seq, text, before, after: each short sentence with up to ``window`` sentences before and after it."""
+    rows = sentences.select("doc_id", "idx", "text")
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    before = F.array_join(F.collect_list("text").over(order.rowsBetween(-window, -1)), "\n")
+    after = F.array_join(F.collect_list("text").over(order.rowsBetween(1, window)), "\n")
+    around = rows.select("doc_id", "idx", "text", before.alias("before"), after.alias("after"))
+    return asked.select("doc_id", "idx", "seq").join(around, ["doc_id", "idx"]).select("doc_id", "seq", "text", "before", "after")
+
+
 def boundary_context(owned: DataFrame, sentences: DataFrame, window: int = 3) -> DataFrame:
     """doc_id, idx, left_text, right_text: up to ``window`` sentences of each group next to a boundary."""
     order = Window.partitionBy("doc_id", "gi").orderBy("idx")

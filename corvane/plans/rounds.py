@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import response_error, strip_reasoning
+from corvane.tables import materialise
 
 VERSION = "1"
 CACHE_SCHEMA = "key string, response string, error string, created_at double, elapsed_seconds double, namespace string, model_id string, prompt_version string, temperature double"
@@ -31,9 +32,9 @@ class Client(Protocol):
 
 
 def cache_key(namespace: Column, model_id: Column, prompt_version: Column, prompt: Column, temperature: Column) -> Column:
-    """One hash over all that an answer depends on; fields are parted by a character that no field contains."""
-    parts = [F.lit(VERSION), namespace, F.coalesce(model_id, F.lit("")), F.coalesce(prompt_version, F.lit("")), temperature.cast("string"), prompt]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 of all that an answer depends on, as compact JSON with sorted keys; a missing value is null there, so fields can't run into each other."""
+    fields = {"model_id": model_id, "namespace": namespace, "prompt": prompt, "prompt_version": prompt_version, "temperature": temperature, "version": F.lit(int(VERSION))}
+    return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"}), 256)
 
 
 def lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,9 +44,10 @@ def lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def upserted(cache: DataFrame) -> DataFrame:
-    """The newest entry of each key."""
-    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.col("created_at").desc(), F.col("response").desc()))
-    return cache.withColumn("__n", newest).where("__n = 1").drop("__n")
+    """The newest entry of each key; entries are compared before the shuffle, so only one of each key and task moves."""
+    rest = [c for c in cache.columns if c not in ("key", "created_at", "response")]
+    newest = F.max(F.struct("created_at", "response", *rest)).alias("x")
+    return cache.groupBy("key").agg(newest).select(*[F.col("key") if c == "key" else F.col(f"x.{c}").alias(c) for c in cache.columns])
 
 
 def retried(client: Client, prompt: str, temperature: float, retries: int, backoff: float) -> tuple[str | None, str | None, float]:
@@ -61,8 +63,8 @@ def retried(client: Client, prompt: str, temperature: float, retries: int, backo
     return None, error, time.monotonic() - began
 
 
-def call_all(requests: DataFrame, client: Client, concurrency: int = 4, retries: int = 3, backoff: float = 1.0, prompt_version: str = "v1") -> DataFrame:
-    """Cache rows of ``requests`` (key, namespace, prompt, temperature); ``concurrency`` tasks call at a time."""
+def call_all(requests: DataFrame, client: Client, concurrency: int = 0, retries: int = 3, backoff: float = 1.0, prompt_version: str = "v1") -> DataFrame:
+    """Cache rows of ``requests`` (key, namespace, prompt, temperature); ``concurrency`` tasks (0: as many as the cluster runs at once) call at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +73,7 @@ def call_all(requests: DataFrame, client: Client, concurrency: int = 4, retries:
                 row = [key, content, error, time.time(), took, namespace, client.model_id, prompt_version, temperature]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _KINDS, strict=True)], _NAMES)
 
-    return requests.select("key", "namespace", "prompt", "temperature").repartition(concurrency).mapInArrow(run, CACHE_SCHEMA)
+    return requests.select("key", "namespace", "prompt", "temperature").repartition(concurrency or requests.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, CACHE_SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in CACHE_SCHEMA.split(", ")]
@@ -97,4 +99,39 @@ def answer(requests: DataFrame, client: Client, cache_path: str, prompt_version:
     call_all(missing.unionByName(again), client, prompt_version=prompt_version, **calls).write.mode("append").parquet(cache_path)
     done = upserted(spark.read.schema(CACHE_SCHEMA).parquet(cache_path)).select("key", strip_reasoning(F.col("response")).alias("content"), "error")
     out = keyed.join(done, "key", "left")
-    return out.select("doc_id", "seq", "content", F.coalesce("error", response_error(F.col("content"))).alias("error"))
+    lengths = F.length("prompt").cast("long").alias("prompt_chars"), F.length("content").cast("long").alias("response_chars")
+    return out.select("doc_id", "seq", "content", F.coalesce("error", response_error(F.col("content"))).alias("error"), *lengths)
+
+
+def scheduled(requests: DataFrame, client: Client, cache_path: str, schedule: list[tuple[str, float]], **options: object) -> DataFrame:
+    """As ``answer``, with failed requests asked again: attempt k appends its text to the prompt and adds to the temperature (kept within 0 and 2).
+
+    The result has a column ``attempt``, from 0; the last attempt's error stands.
+    """
+    done = None
+    left = requests
+    for attempt, (more, warmer) in enumerate([("", 0.0), *schedule]):
+        asked = left.withColumns({"prompt": F.concat("prompt", F.lit(more)), "temperature": F.least(F.greatest(F.col("temperature") + warmer, F.lit(0.0)), F.lit(2.0))})
+        got = materialise(answer(asked, client, cache_path, **options).withColumn("attempt", F.lit(attempt)), "attempt")
+        last = attempt == len(schedule)
+        keep = got if last else got.where("error is null")
+        done = keep if done is None else done.unionByName(keep)
+        if last:
+            break
+        left = materialise(left.join(got.where("error is not null").select("doc_id", "seq"), ["doc_id", "seq"], "left_semi"), "again")
+        if left.isEmpty():
+            break
+    return done
+
+
+class MemoryCache:
+    """Answers kept in the driver, for tests and small runs."""
+
+    def __init__(self) -> None:
+        self._rows: dict[str, dict] = {}
+
+    def get(self, key: str) -> dict | None:
+        return self._rows.get(key)
+
+    def set(self, key: str, row: dict) -> None:
+        self._rows[key] = row
