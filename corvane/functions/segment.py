@@ -27,6 +27,7 @@ LIST_MARKER = re.compile(r"(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)]")
 BRIDGE = re.compile(r"[^\w\s.!?…]{1,5}")
 CONJUNCTION = re.compile(r",\s+(?:and|but|or|so|yet|however|moreover|furthermore|nevertheless)\s", re.I)
 
+# Patterns of words, sentence ends, separators and soft boundaries.
 _WORD = re.compile(r"\S+")
 _END = re.compile(rf"[.!?…][{re.escape(CLOSERS)}]*(\s+)")
 _ENDING = re.compile(rf"[.!?…][{re.escape(CLOSERS)}]*$")
@@ -51,7 +52,8 @@ def trim(text: str, start: int, end: int) -> Span:
 
 def signal_text(text: str) -> str:
     """A text without entities, invisible characters and repeated white space."""
-    text = html.unescape(html.unescape(text))
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
     if not text.isascii() or not text.isprintable():
         text = "".join(c for c in text if unicodedata.category(c) not in UNSEEN_CATEGORIES)
     return _MANY_NEWLINES.sub("\n\n", _LINE_SPACE.sub(" ", text)).strip()
@@ -199,12 +201,15 @@ def _soft_pieces(layout: Layout, start: int, end: int, target: int, most: int, l
     soft, out = layout.soft(), []
     while layout.count(start, end) > most:
         best = None
-        for a, b in soft[bisect_right(soft, (start, 1 << 62)) :]:
+        for k in range(bisect_right(soft, (start, 1 << 62)), len(soft)):
+            a, b = soft[k]
             if b >= end:
                 if a >= end:
                     break
                 continue
             left, right = layout.count(start, a), layout.count(b, end)
+            if best is not None and left - target > best[0][0]:
+                break  # words on the left only grow from here
             if min(left, right) >= least:
                 rank = (abs(left - target), abs(left - right))
                 if best is None or rank < best[0]:

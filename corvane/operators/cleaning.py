@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -160,3 +161,33 @@ def restore(rows: DataFrame, cleaned: DataFrame, *columns: str) -> DataFrame:
         moved = F.when(inside, F.col(c) + F.col("__shift")).when((F.col("__k") > 0) & (F.col(c) == F.col("clean_length")), F.col("original_length"))
         rows = found.withColumn(c, moved.cast("int")).select(*names)
     return rows
+
+
+def restore_spans(rows: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Sentences, words or keywords (start, end, text) of clean texts with both offsets in the source.
+
+    Both are looked up in the document's own row, by bisection over its
+    segments; the text stays the clean one.
+    """
+    maps = cleaned.select("doc_id", "segments", "original_length", "clean_length")
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def moved(spans: pa.Array, segments: pa.Array, source: pa.Array, clean: pa.Array) -> pa.Array:
+        out = []
+        for ss, gs, n, k in zip(spans.to_pylist(), segments.to_pylist(), source.to_pylist(), clean.to_pylist(), strict=True):
+            starts = [g["clean_offset"] for g in gs or []]
+
+            def at(i: int, starts: list[int] = starts, gs: list = gs, n: int = n, k: int = k) -> int | None:
+                if not starts or not 0 <= i <= k:
+                    return None
+                g = gs[bisect_right(starts, i) - 1]
+                return n if i == k else g["original_offset"] + i - g["clean_offset"]
+
+            out.append([{"start": at(s["start"]), "end": at(s["end"])} for s in ss])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    held = F.array_sort(F.collect_list(F.struct("start", "end", F.struct(*[F.col(c) for c in rows.columns]).alias("row")))).alias("l")
+    lists = rows.groupBy("doc_id").agg(held).join(maps, "doc_id")
+    lists = lists.withColumn("to", moved(F.transform("l", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), "segments", "original_length", "clean_length"))
+    each = lists.select(F.explode(F.arrays_zip("l", "to")).alias("x"))
+    return each.select(*[(F.col(f"x.to.{c}") if c in ("start", "end") else F.col(f"x.l.row.{c}")).alias(c) for c in rows.columns])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +94,76 @@ def topic_lines(parts: DataFrame, labels: DataFrame) -> DataFrame:
     rows = parts.join(labels.select("doc_id", "ri", "label"), ["doc_id", "ri"])
     line = F.concat(F.array_join("label", ">"), F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ri", line.alias("line")))), lambda x: x["line"]), "\n").alias("response"))
+
+
+# --- requests that fit ---------------------------------------------------------
+
+
+def tokens_of(prompt: str, questions: int) -> int:
+    """Estimated tokens of a request with its answers."""
+    return math.ceil(max(len(prompt) / 2, len(prompt.encode()) / 3) * 1.1) + RESERVED_TOKENS + TOKENS_PER_QUESTION * questions
+
+
+def fitted(text: str, most: int) -> str:
+    """Head and tail of a text around an ellipsis, as ``fit_text``."""
+    if len(text) <= most:
+        return text
+    return text[:most] if most <= 1 else text[: most // 2] + "…" + (text[-(most - 1 - most // 2) :] if most - 1 - most // 2 else "")
+
+
+def request_json(sentences: list[dict], first: int, last: int, around: int, most: int) -> str:
+    """The prompt about the gaps before sentences ``first`` to ``last`` (ids from 1)."""
+    shown = sentences[max(first - 2 - around, 0) : last + around]
+    state = [{"id": s["id"], "paragraph_break_before": s["paragraph_break_before"], "text": fitted(s["text"], most)} for s in shown]
+    ask = [{"id": f"b{k}", "type": "choice", "instructions": f"Does sentence {k} open a new section?", "criteria": CRITERIA} for k in range(first, last + 1)]
+    return json.dumps({"state": {"sentences": state}, "questions": ask}, ensure_ascii=False, separators=(",", ":"))
+
+
+def fit(sentences: list[dict], window: int | None, size: int = BATCH, around: int = CONTEXT) -> Iterator[tuple[int, int, str]]:
+    """(first gap, last gap, prompt) of requests that all fit a window of tokens (none or zero: any size fits).
+
+    A batch too large is halved; a single gap loses its context, then its texts
+    are cut to half and half again. What fits in no way is an error.
+    """
+    todo = [(a, min(a + size - 1, len(sentences))) for a in range(2, len(sentences) + 1, size)][::-1]
+    while todo:
+        first, last = todo.pop()
+        prompt = request_json(sentences, first, last, around, SENTENCE_CHARS)
+        if window and tokens_of(prompt, last - first + 1) > window:
+            if first < last:
+                half = (first + last) // 2
+                todo += [(half + 1, last), (first, half)]
+                continue
+            most = SENTENCE_CHARS
+            prompt = request_json(sentences, first, last, 0, most)
+            while tokens_of(prompt, 1) > window and most > 1:
+                most //= 2
+                prompt = request_json(sentences, first, last, 0, most)
+            if tokens_of(prompt, 1) > window:
+                raise ValueError(f"the question about sentence {first} does not fit {window} tokens")
+        yield first, last, prompt
+
+
+def fitting_requests(shown: DataFrame, window: int | None, size: int = BATCH, around: int = CONTEXT) -> DataFrame:
+    """doc_id, seq, first_gap, last_gap, prompt, error: requests over ``shown`` (see ``content``) that fit the window.
+
+    A document of which a question can't fit has one row, with the error.
+    """
+    listed = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "paragraph_break_before", "text"))).alias("l"))
+    kind = shown.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, sentences in enumerate(batch.column(1).to_pylist()):
+                try:
+                    new = [(k, *r, None) for k, r in enumerate(fit(sentences, window, size, around))]
+                except ValueError as e:
+                    new = [(0, None, None, None, str(e))]
+                at += [i] * len(new)
+                rows += new
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "seq", "first_gap", "last_gap", "prompt", "error"])
+
+    return listed.mapInArrow(run, f"doc_id {kind}, seq long, first_gap long, last_gap long, prompt string, error string")

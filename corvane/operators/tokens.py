@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,55 +108,52 @@ def mark_words(docs: DataFrame) -> DataFrame:
 # --- chunks ------------------------------------------------------------------
 
 
+def _fitting_lines(tagged: str, most: int) -> list[str]:
+    """Lines of at most ``most`` characters: longer ones in parts, each with the number of its line."""
+    out, number = [], ""
+    for line in tagged.split("\n"):
+        found = _PART.match(line)
+        number = found[0] if found else number
+        if len(line) > most:
+            width, body = most - len(number), line[len(number) :] if found else line
+            if width <= 0:
+                raise ValueError(f"a chunk of {most} characters can't hold a numbered line")
+            out += [number + body[i : i + width] for i in range(0, len(body), width)]
+        else:
+            out.append(line)
+    return out
+
+
 def balanced_chunks(tagged: str, most: int = 12_000, overlap: int = 500) -> list[list[str]]:
-    """Lines of chunks of about equal size, each starting with the last lines of the one before."""
-    lines, prefix = [], ""
+    """Lines of chunks of about equal size, each starting with the last lines of the one before.
+
+    A chunk is a slice of the lines, and its size a difference of running sums,
+    so where it ends and where the next one begins are found by bisection.
+    """
     if len(tagged) <= most:
         return [tagged.split("\n")]
-    for line in tagged.split("\n"):
-        mark = _PART.match(line)
-        prefix = mark[0] if mark else prefix
-        if len(line) <= most:
-            lines.append(line)
-            continue
-        room = most - len(prefix)
-        if room <= 0:
-            raise ValueError("max_chars must leave room for a sentence marker and text")
-        load = line[len(prefix) :] if mark else line
-        lines += [prefix + load[i : i + room] for i in range(0, len(load), room)]
-
-    def length(part: list[str]) -> int:
-        return sum(map(len, part)) + max(len(part) - 1, 0)
-
-    total = length(lines)
+    lines = _fitting_lines(tagged, most)
+    upto = list(accumulate((len(x) + 1 for x in lines), initial=0))  # characters before each line, line ends included
+    numbered = [i for i, x in enumerate(lines) if _PART.match(x)]
+    total = upto[-1] - 1
     count = 1 + math.ceil((total - most) / max(most - overlap, 1))
     goal = (total + (count - 1) * overlap) / count
     out: list[list[str]] = []
-    carried: list[str] = []
-    at = 0
-    while at < len(lines):
-        while carried and length(carried) + 1 + len(lines[at]) > most:
-            drop = 1
-            while drop < len(carried) and not _PART.match(carried[drop]):
-                drop += 1
-            carried = carried[drop:]
-        size, begin = length(carried), at
-        while at < len(lines):
-            more = len(lines[at]) + (size > 0 or bool(carried) or at > begin)
-            if (carried or at > begin) and size + more > most:
-                break
-            size, at = size + more, at + 1
-            if len(out) + 1 < count and size >= goal:
-                break
-        fresh = lines[begin:at]
-        out.append(carried + fresh)
-        first, held = len(fresh), -1
-        while overlap and first > 0 and held < overlap:
-            first -= 1
-            held += len(fresh[first]) + 1
-        while overlap and 0 < first < len(fresh) and not _PART.match(fresh[first]):
-            first -= 1
-        carried = fresh[first:] if overlap else []
+    first = end = 0
+    while end < len(lines):
+        begin = end
+        while first < begin and upto[begin + 1] - upto[first] - 1 > most:  # the overlap leaves no room for a new line
+            k = bisect_right(numbered, first)
+            first = min(numbered[k] if k < len(numbered) else begin, begin)
+        end = max(begin + 1, bisect_right(upto, upto[first] + most + 1) - 1)
+        if len(out) + 1 < count:
+            end = min(end, max(begin + 1, bisect_left(upto, upto[first] + goal + 1)))
+        out.append(lines[first:end])
+        first = end
+        if overlap:
+            first = max(begin, min(end - 1, bisect_right(upto, upto[end] - 1 - overlap) - 1))
+            k = bisect_right(numbered, first)
+            first = max(begin, numbered[k - 1] if k else begin)
     return out
 
 
@@ -185,7 +184,7 @@ def chunks(marked: DataFrame, most: int = 12_000, overlap: int = 500, by_words:
     A chunk's first and last marker are those found anywhere in it, null if none.
     """
     if most <= 0 or overlap < 0 or (not by_words and overlap >= most):
-        raise ValueError("overlap must be within 0 and max_chars")
+        raise ValueError("the overlap must not be negative, and shorter than a chunk")
     kind = marked.schema["doc_id"].dataType.simpleString()
     cut, glue = (word_chunks, " ") if by_words else (balanced_chunks, "\n")
 

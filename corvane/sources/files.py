@@ -12,8 +12,16 @@ TEXTS, HTML = (".txt", ".md", ".html", ".htm"), (".html", ".htm")
 def corpus(spark: SparkSession, *paths: str) -> DataFrame:
     """doc_id (path), path, is_html, sha256, text, status, error: every text file below the paths, each path once.
 
-    A file that isn't UTF-8 is a row with an error; the others go on.
+    A path that is missing, or a single file of another kind, is an error. A
+    file that isn't UTF-8 is a row with an error; the others go on.
     """
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            raise ValueError(f"{path} does not exist")
+        if fs.getFileStatus(target).isFile() and not path.lower().endswith(TEXTS):
+            raise ValueError(f"{path} is none of {' '.join(TEXTS)}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).dropDuplicates(["path"])
     name = F.lower("path")
     wanted = files.where(F.regexp_extract(name, r"(\.[a-z]+)$", 1).isin(*TEXTS))

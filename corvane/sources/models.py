@@ -7,6 +7,8 @@ import random
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 RETRIED = {429, 502, 503, 504, 529}
@@ -63,3 +65,41 @@ class Decisions:
         if not isinstance(answer.get("answers"), dict):
             raise ValueError("the answer has no object 'answers'")
         return json.dumps(answer)
+
+
+def choice(instructions: str, criteria: dict[str, str]) -> dict:
+    """A question with named options; one without a name or a text is an error."""
+    if not criteria or any(not k.strip() or not v.strip() for k, v in criteria.items()):
+        raise ValueError("every option needs a name and a text")
+    return {"type": "choice", "instructions": instructions, "criteria": dict(criteria)}
+
+
+@dataclass(frozen=True)
+class Function:
+    """A plain function from a prompt and a temperature to an answer, as a client."""
+
+    of: Callable[[str, float], str]
+    model_id: str = "function"
+
+    def call(self, prompt: str, temperature: float) -> str:
+        return self.of(prompt, temperature)
+
+
+@dataclass(frozen=True)
+class Concurrent:
+    """A client that several threads of a task may call, a few at a time, for servers that answer in parallel."""
+
+    inner: object
+    at_once: int = 10
+
+    @property
+    def model_id(self) -> str:
+        return self.inner.model_id
+
+    def call(self, prompt: str, temperature: float) -> str:
+        return self.inner.call(prompt, temperature)
+
+    def call_many(self, requests: list[tuple[str, float]]) -> list[str]:
+        """Answers in the order of the requests."""
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(lambda r: self.inner.call(*r), requests))
