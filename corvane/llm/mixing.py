@@ -93,25 +93,38 @@ def inclusion(goal: DataFrame, classes: DataFrame) -> DataFrame:
     return open_classes.groupBy("sk").agg(F.max_by("scale", "digits").alias("scale"))
 
 
-def _ranked(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """``rows`` (sk, doc_id, u, size) with what their source decides, the Pareto variable q and its slice."""
+def _pareto() -> Column:
+    """The Pareto variable of a row (u, size) beside what its source decides: random odds over inclusion odds."""
     odds = F.col("scale") * digits(F.col("size"))
     odds = F.when(odds < 1, odds / (1.0 - odds)).otherwise(float("inf"))
-    q = F.when(F.col("need") > 0, (F.col("u") / (1.0 - F.col("u"))) / odds).otherwise(float("inf"))
-    out = rows.join(goal, "sk").withColumn("q", q)
-    return out.withColumn("slice", F.when(F.col("q") == float("inf"), SLICES).otherwise(F.floor(F.col("q") / (1.0 + F.col("q")) * SLICES)).cast("int"))
+    return F.when(F.col("need") > 0, (F.col("u") / (1.0 - F.col("u"))) / odds).otherwise(float("inf"))
+
+
+def _slice(q: Column) -> Column:
+    return F.when(q == float("inf"), SLICES).otherwise(F.floor(q / (1.0 + q) * SLICES)).cast("int")
+
+
+def _ranked(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` (sk, doc_id, u, size) with what their source decides, the Pareto variable q and its slice."""
+    return rows.join(goal, "sk").withColumn("q", _pareto()).withColumn("slice", _slice(F.col("q")))
 
 
-def _taken(rounds: int) -> Column:
+def _taken(rounds: int, q: Column | None = None, slice_: Column | None = None) -> Column:
     """Whether the first rounds take a row: it fits the words missing and lies before the round's threshold."""
+    q, slice_ = F.col("q") if q is None else q, F.col("slice") if slice_ is None else slice_
     out = F.lit(False)
     for k in range(rounds):
-        before = F.coalesce(F.col("slice") < F.col(f"slice{k}"), F.lit(True))
-        at = (F.col("slice") == F.col(f"slice{k}")) & F.coalesce(F.struct("q", "doc_id", "size") <= F.col(f"cut{k}"), F.lit(False))
+        before = F.coalesce(slice_ < F.col(f"slice{k}"), F.lit(True))
+        at = (slice_ == F.col(f"slice{k}")) & F.coalesce(F.struct(q.alias("q"), "doc_id", "size") <= F.col(f"cut{k}"), F.lit(False))
         out |= (F.col("size") <= F.col(f"need{k}")) & (F.col(f"need{k}") > 0) & (before | at)
     return out
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it and wherever a filter moves it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def plan(docs: DataFrame, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The documents' (sk, doc_id, u, size), and one row for each source: its targets, whole copies and thresholds."""
     sized = materialise(docs.select("doc_id", "source", source_key().alias("sk"), word_count(F.col("text")).alias("size"), uniform(seed).alias("u")), "sized")
@@ -174,5 +187,8 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     discard(rows)
     held = unused("__row", docs)
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(held), "doc_id", source_key().alias("sk"), word_count(F.col("text")).alias("size"), uniform(seed).alias("u"))
-    found = _ranked(keyed, small_or_shuffled(goal)).withColumn("copies", (F.col("whole") + _taken(ROUNDS).cast("long")).cast("int")).where("size > 0 and copies > 0")
+    # Filters move into the join, where the Pareto variable would be written out for each of its uses: a method too long to be compiled.
+    taken = _bound(_pareto(), lambda q: _bound(_slice(q), lambda slice_: _taken(ROUNDS, q, slice_)))
+    copies = F.when(F.col("size") > 0, F.col("whole") + taken.cast("long")).otherwise(0).cast("int")
+    found = keyed.join(small_or_shuffled(goal), "sk").withColumn("copies", copies).where("copies > 0")
     return found.select(*[F.col(held)[c].alias(c) for c in docs.columns if c.lower() != "copies"], "copies")
