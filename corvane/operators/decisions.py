@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import estimate_tokens, fit_text, squeeze
-from corvane.operators.ranges import from_flags, to_indices
+from corvane.operators.ranges import to_indices
 
 # How requests are sized.
 THRESHOLD, BATCH, CONTEXT, SENTENCE_CHARS = 0.5, 8, 2, 2000
@@ -56,10 +56,17 @@ def requests(shown: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def sections(probabilities: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, ri, s, e from (doc_id, idx, probability) of the gap before each sentence but the first."""
-    rows = counts.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("idx"))
-    flags = rows.join(probabilities, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce(F.col("probability") >= threshold, F.lit(False)).alias("starts"))
-    return from_flags(flags, "doc_id")
+    """doc_id, ri, s, e from (doc_id, idx, probability) of the gap before each sentence but the first.
+
+    Only first sentences of sections are rows, collected by document beside its
+    count; the sentences between need none, and nothing is joined.
+    """
+    firsts = counts.where("n > 0").select("doc_id", F.lit(0).alias("idx"), F.col("n").cast("int").alias("n"))
+    starts = probabilities.where((F.col("probability") >= threshold) & (F.col("idx") > 0)).select("doc_id", F.col("idx").cast("int").alias("idx"), F.lit(None).cast("int").alias("n"))
+    per = firsts.unionByName(starts).groupBy("doc_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("idx")).alias("at")).where("n is not null")
+    per = per.select("doc_id", "n", F.filter("at", lambda i: i < F.col("n")).alias("at"))
+    ends = F.transform("at", lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get("at", k + 1), F.col("n")) - 1).alias("e")))
+    return per.select("doc_id", F.posexplode(ends).alias("ri", "x")).select("doc_id", "ri", "x.s", "x.e")
 
 
 def bodies(parts: DataFrame, sentences: DataFrame, most: int = SECTION_CHARS) -> DataFrame:
