@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import estimate_tokens, fit_text, squeeze
-from corvane.operators.ranges import to_indices
+from corvane.operators.ranges import shuffled, to_indices
 
 # How requests are sized.
 THRESHOLD, BATCH, CONTEXT, SENTENCE_CHARS = 0.5, 8, 2, 2000
@@ -71,7 +71,7 @@ def sections(probabilities: DataFrame, counts: DataFrame, threshold: float = THR
 
 def bodies(parts: DataFrame, sentences: DataFrame, most: int = SECTION_CHARS) -> DataFrame:
     """doc_id, ri, body: a section's sentences in one line, fitted."""
-    rows = to_indices(parts).join(sentences.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+    rows = shuffled(to_indices(parts)).join(sentences.select("doc_id", "idx", "text"), ["doc_id", "idx"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
     return rows.groupBy("doc_id", "ri").agg(fit_text(squeeze(text), most).alias("body"))
 

@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for a join by shuffle and merge, for tables with a row for each sentence or range.
+
+    The planner takes a table for as small as its compressed files and sees
+    nothing of what an explode adds, so it would send such rows through the
+    driver; at run time it takes that back only if no shuffle is added.
+    """
+    return rows.hint("merge")
+
+
 def clamp(rows: DataFrame, last: Column) -> DataFrame:
     """Ranges inside 0..last, ends in order; none if ``last`` is negative."""
 
