@@ -98,7 +98,7 @@ def label_batches(sized: DataFrame, most: int = LABEL_CHARS, count: int = SECTIO
 
 def topic_lines(parts: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, response: lines 'A>B: s-e' in order, as the topic parser reads them."""
-    rows = parts.join(labels.select("doc_id", "ri", "label"), ["doc_id", "ri"])
+    rows = shuffled(parts).join(labels.select("doc_id", "ri", "label"), ["doc_id", "ri"])
     line = F.concat(F.array_join("label", ">"), F.lit(": "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ri", line.alias("line")))), lambda x: x["line"]), "\n").alias("response"))
 
