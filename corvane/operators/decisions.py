@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,21 +80,32 @@ def bodies(parts: DataFrame, sentences: DataFrame, most: int = SECTION_CHARS) ->
 def label_batches(sized: DataFrame, most: int = LABEL_CHARS, count: int = SECTIONS) -> DataFrame:
     """doc_id, ri, batch, number: sections packed in order, ``count`` and ``most`` characters at most in each batch, numbered from 1.
 
-    Packing is a fold over one document's sections.
+    Packing goes once through one document's sections, in a batch function: a
+    fold of expressions would copy what it has packed at every section.
     """
-    lists = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ri", F.length("body").alias("k")))).alias("l"))
-    kind = "struct<batch: int, number: int, chars: bigint, out: array<struct<ri: int, batch: int, number: int>>>"
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("number"), F.lit(0).cast("bigint").alias("chars"), F.array().cast("array<struct<ri: int, batch: int, number: int>>").alias("out")).cast(kind)
-
-    def pack(acc, x):
-        more = x["k"] + 8
-        full = (acc["number"] > 0) & ((acc["number"] >= count) | (acc["chars"] + more > most))
-        batch, number = F.when(full, acc["batch"] + 1).otherwise(acc["batch"]), F.when(full, 1).otherwise(acc["number"] + 1)
-        chars = F.when(full, more).otherwise(acc["chars"] + more)
-        new = F.struct(x["ri"].alias("ri"), batch.alias("batch"), number.alias("number"))
-        return F.struct(batch.alias("batch"), number.alias("number"), chars.alias("chars"), F.concat(acc["out"], F.array(new)).alias("out")).cast(kind)
-
-    return lists.select("doc_id", F.explode(F.aggregate("l", zero, pack)["out"]).alias("x")).select("doc_id", "x.*")
+    lists = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ri", F.coalesce(F.length("body"), F.lit(0)).alias("k")))).alias("l"))
+    kind = sized.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                part = whole.slice(lo, 256)
+                flat = part.column(1).flatten()
+                ri, size = flat.field(0), flat.field(1).to_pylist()
+                at, batches_, numbers, k = [], [], [], 0
+                for i, n in enumerate(pc.list_value_length(part.column(1)).to_pylist()):
+                    batch = number = chars = 0
+                    for more in size[k : k + n]:
+                        if number and (number >= count or chars + more + 8 > most):
+                            batch, number, chars = batch + 1, 0, 0
+                        number, chars = number + 1, chars + more + 8
+                        batches_.append(batch)
+                        numbers.append(number)
+                    at += [i] * n
+                    k += n
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), ri, pa.array(batches_, pa.int32()), pa.array(numbers, pa.int32())], ["doc_id", "ri", "batch", "number"])
+
+    return lists.mapInArrow(run, f"doc_id {kind}, ri int, batch int, number int")
 
 
 def topic_lines(parts: DataFrame, labels: DataFrame) -> DataFrame:

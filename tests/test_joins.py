@@ -6,7 +6,7 @@ import corvane.catalogue
 from corvane.operators import decisions
 from corvane.plans import pipelines, sessions
 
-NAMES = ["decision_ranges", "section_bodies", "decision_topic_lines"]
+NAMES = ["decision_ranges", "section_bodies", "decision_topic_lines", "label_batches"]
 
 
 def broadcasts(df):
@@ -38,3 +38,21 @@ def test_sections_need_no_join(spark):
     assert sorted(tuple(r) for r in out.where("doc_id is not null").collect()) == [(1, 0, 0, 1), (1, 1, 2, 4), (2, 0, 0, 0), (2, 1, 1, 1), (4, 0, 0, 0)]
     assert [tuple(r) for r in out.where("doc_id is null").collect()] == [(None, 0, 0, 2)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packing_goes_through_a_document_once(spark):
+    """4000 sections of one document beside others, with limits by number and by size; a section over the limit stands alone."""
+    rows = [(1, k, "x" * (k % 50)) for k in range(4000)] + [(2, 0, "y" * 900), (2, 1, None), (3, 0, "")]
+    sized = spark.createDataFrame(rows, "doc_id long, ri int, body string").repartition(3)
+    want = []
+    for doc in (1, 2, 3):
+        batch = number = chars = 0
+        for _, ri, body in (r for r in rows if r[0] == doc):
+            more = len(body or "") + 8
+            if number and (number >= 20 or chars + more > 600):
+                batch, number, chars = batch + 1, 0, 0
+            number, chars = number + 1, chars + more
+            want.append((doc, ri, batch, number))
+    out = decisions.label_batches(sized, 600, 20)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
