@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import label_key
 from corvane.operators.parsing import boundary_shift, reassignment
-from corvane.operators.ranges import coalesce, from_indices, to_indices
+from corvane.operators.ranges import coalesce, from_indices, shuffled, to_indices
 
 
 def _by_idx():
@@ -48,12 +48,12 @@ def reassign_context(asked: DataFrame, owned: DataFrame, sentences: DataFrame, w
 def boundary_context(owned: DataFrame, sentences: DataFrame, window: int = 3) -> DataFrame:
     """doc_id, idx, left_text, right_text: up to ``window`` sentences of each group next to a boundary."""
     order = Window.partitionBy("doc_id", "gi").orderBy("idx")
-    runs = owned.withColumn("run", F.col("idx") - F.row_number().over(order)).join(sentences.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+    runs = shuffled(owned.withColumn("run", F.col("idx") - F.row_number().over(order))).join(sentences.select("doc_id", "idx", "text"), ["doc_id", "idx"])
     # A run's sentences stand together, so the nearest ones are a slice of its ordered texts.
     stretch = runs.groupBy("doc_id", "gi", "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("t"))
     left = stretch.select("doc_id", F.col("hi").alias("idx"), F.array_join(F.slice("t", F.greatest(F.size("t") - window + 1, F.lit(1)), F.lit(window)), "\n").alias("left_text"))
     right = stretch.select("doc_id", (F.col("lo") - 1).alias("idx"), F.array_join(F.slice("t", 1, window), "\n").alias("right_text"))
-    return boundaries(owned).select("doc_id", "idx").join(left, ["doc_id", "idx"]).join(right, ["doc_id", "idx"])
+    return boundaries(owned).select("doc_id", "idx").join(shuffled(left), ["doc_id", "idx"]).join(shuffled(right), ["doc_id", "idx"])
 
 
 def _rebuild(owned: DataFrame, groups: DataFrame) -> DataFrame:
