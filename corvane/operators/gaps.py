@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import is_trash
 from corvane.operators.parsing import gap_decision, new_topic
-from corvane.operators.ranges import from_indices, to_indices
+from corvane.operators.ranges import from_indices, shuffled, to_indices
 
 CONTEXT = 3
 
@@ -49,7 +49,7 @@ def strict(groups: DataFrame, counts: DataFrame) -> DataFrame:
 def repair(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Holes filled from the range before them, a leading hole from the first range."""
     nxt = F.lead("s").over(_order())
-    rows = trimmed(groups).join(counts.select("doc_id", "n"), "doc_id")
+    rows = shuffled(trimmed(groups)).join(counts.select("doc_id", "n"), "doc_id")
     first = F.row_number().over(_order()) == 1
     end = F.coalesce(nxt - 1, F.greatest("e", F.col("n") - 1))
     return rows.select("doc_id", "gi", "ri", "label", F.when(first, 0).otherwise(F.col("s")).cast("long").alias("s"), end.cast("long").alias("e"))

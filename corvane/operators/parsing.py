@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import LINE_BREAK, WS, decode_entities, label_key, label_parts, name_key, squeeze, strip
-from corvane.operators.ranges import clamp, coalesce
+from corvane.operators.ranges import clamp, coalesce, shuffled
 
 _LINE = rf"^(.+):[{WS}]*([0-9][0-9{WS},\-]*)[{WS}]*$"
 UNCATEGORISED = "Uncategorized"
@@ -50,7 +50,7 @@ def _grouped(rows: DataFrame, key: Column, shown: Column, shown_name: str) -> Da
     heads = parts.groupBy("doc_id", "__key").agg(F.min("line").alias("__line"), F.min_by(shown_name, "line").alias(shown_name))
     heads = heads.withColumn("gi", (F.row_number().over(Window.partitionBy("doc_id").orderBy("__line")) - 1).cast("int"))
     joined = coalesce(parts.select("doc_id", "__key", "s", "e"), "doc_id", "__key")
-    return joined.join(heads, ["doc_id", "__key"]).select("doc_id", "gi", "ri", shown_name, "s", "e")
+    return shuffled(joined).join(heads, ["doc_id", "__key"]).select("doc_id", "gi", "ri", shown_name, "s", "e")
 
 
 def parse_topics(responses: DataFrame, decode: bool = True) -> DataFrame:

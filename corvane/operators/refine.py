@@ -116,7 +116,7 @@ def join_adjacent(groups: DataFrame) -> DataFrame:
 
 def join_sentences(groups: DataFrame, sentences: DataFrame) -> DataFrame:
     """doc_id, idx, gi, start, end, text: each range as one sentence, numbered in order of groups, then ranges."""
-    parts = to_indices(groups.select("doc_id", "gi", "s", "e")).join(sentences, ["doc_id", "idx"])
+    parts = shuffled(to_indices(groups.select("doc_id", "gi", "s", "e"))).join(sentences, ["doc_id", "idx"])
     out = parts.groupBy("doc_id", "gi", "s", "e").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")).alias("text"),

@@ -6,7 +6,7 @@ import corvane.catalogue
 from corvane.operators import decisions
 from corvane.plans import pipelines, sessions
 
-NAMES = ["decision_ranges", "section_bodies", "decision_topic_lines", "label_batches", "boundary_context"]
+NAMES = ["decision_ranges", "section_bodies", "decision_topic_lines", "label_batches", "boundary_context", "sentence_join"]
 
 
 def broadcasts(df):
