@@ -32,7 +32,7 @@ def short_candidates(owned: DataFrame, sentences: DataFrame, shortest: int = 40)
         F.struct((F.col("idx") + 1).alias("idx"), F.col("right_gi").alias("from_gi"), F.col("left_gi").alias("to_gi"), (F.col("idx") * 2 + 1).alias("seq")),
     )).alias("c")).select("doc_id", "c.*")
     brief = sentences.where(F.length("text") < shortest).select("doc_id", "idx")
-    return sides.join(brief, ["doc_id", "idx"], "left_semi")
+    return shuffled(sides).join(brief, ["doc_id", "idx"], "left_semi")
 
 
 def reassign_context(asked: DataFrame, owned: DataFrame, sentences: DataFrame, window: int = 3) -> DataFrame:
@@ -58,18 +58,18 @@ def boundary_context(owned: DataFrame, sentences: DataFrame, window: int = 3) ->
 
 def _rebuild(owned: DataFrame, groups: DataFrame) -> DataFrame:
     labels = groups.select("doc_id", "gi", "label").distinct()
-    return from_indices(owned, "doc_id", "gi").join(labels, ["doc_id", "gi"]).select("doc_id", "gi", "ri", "label", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    return shuffled(from_indices(owned, "doc_id", "gi")).join(labels, ["doc_id", "gi"]).select("doc_id", "gi", "ri", "label", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
 def apply_reassignments(groups: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """Groups after short sentences moved: ``answers`` has (doc_id, seq, answer). The first answer that moves a sentence stands."""
     owned = owners(groups)
     before = owned.select("doc_id", (F.col("idx") + 1).alias("idx"), F.col("gi").alias("before_gi"))
-    rows = candidates.join(answers, ["doc_id", "seq"]).join(before, ["doc_id", "idx"], "left").withColumn("d", reassignment(F.col("answer")))
+    rows = candidates.join(shuffled(answers), ["doc_id", "seq"]).join(shuffled(before), ["doc_id", "idx"], "left").withColumn("d", reassignment(F.col("answer")))
     to_is_previous = F.coalesce(F.col("before_gi") == F.col("to_gi"), F.lit(False))
     moves = (to_is_previous & (F.col("d") == "previous")) | (~to_is_previous & (F.col("d") == "next"))
     moved = rows.where(moves).groupBy("doc_id", "idx").agg(F.min_by("to_gi", "seq").alias("to_gi"))
-    new = owned.join(moved, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("to_gi", "gi").alias("gi"))
+    new = owned.join(shuffled(moved), ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("to_gi", "gi").alias("gi"))
     return _rebuild(new, groups)
 
 
