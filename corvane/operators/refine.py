@@ -130,4 +130,4 @@ def merge_similar(groups: DataFrame) -> DataFrame:
     keyed = groups.withColumn("key", label_key(F.col("label")))
     names = keyed.groupBy("doc_id", "key").agg(F.min_by("label", "gi").alias("label"), F.min("s").alias("first"), F.min("gi").alias("old"))
     names = names.withColumn("gi", (F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "old")) - 1).cast("int"))
-    return coalesce(keyed.select("doc_id", "key", "s", "e"), "doc_id", "key").join(names, ["doc_id", "key"]).select("doc_id", "gi", "ri", "label", "s", "e")
+    return shuffled(coalesce(keyed.select("doc_id", "key", "s", "e"), "doc_id", "key")).join(names, ["doc_id", "key"]).select("doc_id", "gi", "ri", "label", "s", "e")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import stub
 from corvane.operators import decisions, gaps, keywords, parsing, refine, tokens
+from corvane.operators.ranges import shuffled
 from corvane.tables import materialise
 
 TOPIC_RULES = (
@@ -55,7 +56,7 @@ def decision_pipeline(docs: DataFrame) -> DataFrame:
     parts = materialise(decisions.sections(each.withColumn("probability", stub.split_probability(F.col("doc_id"), F.col("idx"))), counts), "sections")
     label = F.array(F.lit("Topic"), F.concat(F.lit("Section "), (F.col("ri") % 3).cast("string")))
     lines = decisions.topic_lines(parts, parts.select("doc_id", "ri", label.alias("label")))
-    return topics(materialise(lines.join(counts, "doc_id"), "answers"), decode=False)
+    return topics(materialise(shuffled(lines).join(counts, "doc_id"), "answers"), decode=False)
 
 
 def keyword_pipeline(docs: DataFrame, ranges: DataFrame, min_gap_words: int = 20) -> DataFrame:
