@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import response_error, strip_reasoning
 from corvane.operators import decisions, gaps, keywords, parsing, refine, tokens
+from corvane.operators.ranges import shuffled
 from corvane.plans import prompts
 from corvane.plans.pipelines import joined_answers, topic_requests
 from corvane.tables import materialise
@@ -215,18 +216,18 @@ def labelled(bodies: DataFrame, retries: int = 2, most: int = decisions.LABEL_CH
     left, done = materialise(bodies, "bodies"), None
     for _ in range(1 + retries):
         packed = materialise(decisions.label_batches(left, most, count), "packed")
-        lines = packed.join(left, ["doc_id", "ri"]).select("doc_id", "batch", "number", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("body")).alias("line"))
+        lines = shuffled(packed).join(left, ["doc_id", "ri"]).select("doc_id", "batch", "number", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("body")).alias("line"))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n")
         asked = lines.groupBy("doc_id", "batch").agg(text.alias("text"), F.max("number").alias("n"))
         answers = yield _requests(asked, "topic-labels", prompts.over(prompts.LABELS, "text"), "batch")
-        got = _checked(answers).where("content is not null").join(asked.select("doc_id", F.col("batch").cast("long").alias("seq"), "n"), list(ANSWERED))
+        got = shuffled(_checked(answers).where("content is not null")).join(asked.select("doc_id", F.col("batch").cast("long").alias("seq"), "n"), list(ANSWERED))
         key = F.to_json(F.struct("doc_id", F.col("seq").cast("int").alias("batch")))
         named = parsing.parse_labels(got.select(key.alias("doc_id"), "n", F.col("content").alias("response")))
         kind = packed.select(F.struct("doc_id", "batch").alias("x")).schema["x"].dataType
         named = named.select(F.from_json("doc_id", kind).alias("x"), F.col("section").alias("number"), "label").select("x.*", "number", "label")
-        new = materialise(packed.join(named, ["doc_id", "batch", "number"]).select("doc_id", "ri", "label"), "labels")
+        new = materialise(shuffled(packed).join(named, ["doc_id", "batch", "number"]).select("doc_id", "ri", "label"), "labels")
         done = new if done is None else materialise(done.unionByName(new), "labels")
-        left = materialise(left.join(new, ["doc_id", "ri"], "left_anti"), "left")
+        left = materialise(left.join(shuffled(new), ["doc_id", "ri"], "left_anti"), "left")
     return Result(bodies, done, left.select("doc_id", F.concat(F.lit("no label for section "), F.col("ri").cast("string")).alias("error")))
 
 

@@ -6,7 +6,7 @@ import corvane.catalogue
 from corvane.operators import decisions
 from corvane.plans import pipelines, sessions
 
-NAMES = ["decision_ranges", "section_bodies", "decision_topic_lines", "label_batches", "boundary_context", "sentence_join", "short_sentence_reassign", "decision_pipeline"]
+NAMES = ["decision_ranges", "section_bodies", "label_batches", "decision_topic_lines", "decision_pipeline", "label_session", "boundary_context", "sentence_join", "short_sentence_reassign"]
 
 
 def broadcasts(df):
