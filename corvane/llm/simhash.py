@@ -4,10 +4,12 @@ A document's fingerprint has 64 bits. Two fingerprints link when at most four
 bits differ. The 64 bits are cut into a ring of five segments. If the whole
 distance is at most 4, the pigeonring principle gives a start segment from
 which every chain of l consecutive segments differs in at most floor(l * 4/5)
-bits: 0, 1, 2, 3, 4. The first two links of that chain are a hash key (segment
-i exact, segment i+1 with one bit masked out), so the shuffle brings together
-only pairs that satisfy them; the longer chains prune what is left before the
-full Hamming check.
+bits: 0, 1, 2, 3, 4. Of the first two links of that chain (segment i exact,
+segment i+1 with one bit masked out) the shuffle takes a part as its key:
+segment i and one half of segment i+1, since one bit leaves one of the halves
+as it is. That is ten rows for each fingerprint instead of one for each of the
+64 masks. The masks divide a long run where it is searched; the longer chains
+prune what is left before the full Hamming check.
 
 Skew: exact copies collapse to one fingerprint before anything is paired.
 Within a key the links are found as a spanning forest (each fingerprint leaves
@@ -71,20 +73,31 @@ def _segments(fps: np.ndarray) -> list[np.ndarray]:
 
 
 def ring_keys(fps: np.ndarray) -> np.ndarray:
-    """n x 64 keys: for each start segment i and each bit j of the next one, (i, j, segment i, segment i+1 without bit j)."""
+    """n x 10 keys: for each start segment i and each half h of the next one, (i, h, segment i, half h of segment i+1)."""
     seg, keys = _segments(fps), []
     for i in range(5):
-        nxt = (i + 1) % 5
-        for j in range(SEGMENTS[nxt]):
-            masked = seg[nxt] & np.uint64(~(1 << j) & 0x1FFF)
-            keys.append(np.uint64(i << 30 | j << 26) | seg[i] << np.uint64(13) | masked)
+        for h, half in enumerate(_halves(seg[(i + 1) % 5])):
+            keys.append(np.uint64(i << 21 | h << 20) | seg[i] << np.uint64(7) | half)
     return np.stack(keys, axis=1).astype(np.int64)
 
 
-def chain_links(keys: np.ndarray, diff: np.ndarray) -> np.ndarray:
-    """Which XOR words pass every chain from their key's start segment, the last chain being the whole ring."""
+def _halves(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return segment & np.uint64(0x3F), segment >> np.uint64(6)
+
+
+def masked_keys(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start segments, keys and fingerprints, seven for one and sorted by key: the ring key, and its other half without bit j."""
+    start, rows = keys >> 21, np.arange(len(keys))
+    low, high = _halves(np.stack(_segments(fps))[(start + 1) % 5, rows])
+    other = np.where(keys >> 20 & 1 == 0, high, low).astype(np.int64)
+    masked = np.concatenate([keys << 10 | j << 7 | other & ~(1 << j) for j in range(7)])
+    order = np.argsort(masked, kind="stable")
+    return np.tile(start, 7)[order], masked[order], np.tile(fps, 7)[order]
+
+
+def chain_links(start: np.ndarray, diff: np.ndarray) -> np.ndarray:
+    """Which XOR words pass every chain from their start segment, the last chain being the whole ring."""
     counts = np.stack([np.bitwise_count(s) for s in _segments(diff)], axis=1).astype(np.int64)
-    start = keys >> 30
     order = (start[:, None] + np.arange(5)) % 5
     sums = np.take_along_axis(counts, order, axis=1).cumsum(axis=1)
     return (sums * 5 <= np.arange(1, 6) * TAU).all(axis=1)
@@ -146,24 +159,26 @@ def _linked(max_run: int):
             b = [y for _, y in new] + [None] * (0 if over is None else len(over))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        def search(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+        def search(start: np.ndarray, keys: np.ndarray, fps: np.ndarray, whole: bool = True) -> list[tuple[int, int]]:
             edge = np.flatnonzero(np.diff(keys)) + 1
             lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
             length = np.repeat(hi - lo, hi - lo)
             pairs: list[tuple[int, int]] = []
             few = (length > 1) & (length <= small)
-            k, v = keys[few], fps[few]
+            first, k, v = start[few], keys[few], fps[few]
             for step in range(1, small):
                 same = np.flatnonzero(k[step:] == k[:-step])
                 if not len(same):
                     break
                 diff = v[same] ^ v[same + step]
-                good = same[chain_links(k[same], diff)]
+                good = same[chain_links(first[same], diff)]
                 pairs += zip(v[good].view(np.int64).tolist(), v[good + step].view(np.int64).tolist(), strict=True)
-            for s, e in zip(lo, hi, strict=True):
-                if e - s > small:
-                    found = np.array(forest(fps[s:e]), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                    pairs += map(tuple, found.tolist())
+            many = length > small
+            if whole and many.any():
+                return pairs + search(*masked_keys(keys[many], fps[many]), whole=False)
+            for s, e in zip(lo[hi - lo > small], hi[hi - lo > small], strict=True):
+                found = np.array(forest(fps[s:e]), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                pairs += map(tuple, found.tolist())
             return pairs
 
         keys, fps, spilled = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
@@ -189,13 +204,14 @@ def _linked(max_run: int):
                 if long_run.any():
                     yield rows([], fps[:cut][long_run])
                 if not long_run.all():
-                    yield rows(search(keys[:cut][~long_run], fps[:cut][~long_run]))
+                    k, v = keys[:cut][~long_run], fps[:cut][~long_run]
+                    yield rows(search(k >> 21, k, v))
             keys, fps = keys[cut:], fps[cut:]
             if len(keys) > max_run:
                 yield rows([], fps)
                 spilled, keys, fps = keys[-1], keys[:0], fps[:0]
         if len(keys):
-            yield rows(search(keys, fps))
+            yield rows(search(keys >> 21, keys, fps))
 
     return run
 
@@ -214,9 +230,8 @@ def links(distinct: DataFrame, max_run: int = 16384) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(fps), 2048):
-                part = fps[lo : lo + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array(ring_keys(part).ravel()), pa.array(np.repeat(part.view(np.int64), 64))], ["key", "fp"])
+            keys = ring_keys(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps.view(np.int64), keys.shape[1]))], ["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = materialise(keyed.mapInArrow(_linked(max_run), "a long, b long"), "links")

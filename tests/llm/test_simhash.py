@@ -77,3 +77,31 @@ def test_documents(spark):
     assert {(5, 3), (3, 3), (7, 7), (8, 2), (2, 2), (None, None), (4, 4)} <= out
     assert simhash.near_duplicates(df).count() == len(rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ring_keys_are_few_and_meet_every_link():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b), dtype=np.uint64)
+    one, other = simhash.ring_keys(a), simhash.ring_keys(b)
+    assert one.shape == (len(a), 10) and len(np.unique(one[:, 0] >> 20)) == 1
+    met = np.zeros(len(a), bool)
+    for c in range(10):
+        met |= (one[:, c] == other[:, c]) & simhash.chain_links(one[:, c] >> 21, a ^ b)
+    assert met.all()
+
+
+@pytest.mark.parametrize("max_run", [16384, 300])
+def test_runs_divided_by_masks_equal_brute_force(spark, max_run):
+    """Fingerprints that share a ring key by hundreds, near ones among them and far ones."""
+    rng = np.random.default_rng(2)
+    fps = [int(x) for x in rng.integers(0, 2**45, 500, dtype=np.uint64) << np.uint64(19)]
+    fps += [fps[i] ^ 1 << int(rng.integers(0, 64)) ^ 1 << int(rng.integers(19, 64)) for i in range(250)]
+    fps = [x - 2**64 if x >= 2**63 else x for x in sorted(set(fps))]
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), max_run)).collect()}
+    groups = {}
+    for fp, c in zip(fps, brute(fps), strict=True):
+        groups.setdefault(c, set()).add(roots.get(fp, fp))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups) < len(fps)
