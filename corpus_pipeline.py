@@ -32,8 +32,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays.
+    """Op 6. Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays.
 
+    Candidates are what op 6's operator links, and for copies that differ in more bits those of MinHash; both are compared as whole sets.
     Texts without words are copies of each other. Repeated rows become one.
     Rows without an id are copies like any other, but all of them stay.
     """

@@ -1,6 +1,9 @@
 """Near copies by exact similarity: documents whose 5-word shingle sets have a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash: 160 minima in 32 bands of five. A pair of
+Candidates come from op6's operator first: SimHash fingerprints of the same
+shingles, linked at four differing bits by its ring of segments. That finds
+the closest copies, but a pair of similarity 0.8 differs in ten bits on
+average. So MinHash adds the rest: 160 minima in 32 bands of five. A pair of
 similarity 0.8 misses all bands with probability (1 - 0.8**5)**32 = 3e-6. Within
 a band's bucket, a 64-bit sketch of the minima (one bit each) leaves out pairs
 far below that similarity. Candidates only tell which documents to compare:
@@ -25,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import simhash
 from corvane.llm.common import discard, materialise, small_or_shuffled, unused
-from corvane.llm.simhash import SEED, _Union, components
+from corvane.llm.simhash import SEED, _Union, components, majority, shingle_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -44,13 +48,13 @@ _TIMES = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct_hashes(blocks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles of a whole text; a shorter text is one shingle, one without words has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = set(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))) or {b" ".join(words)}
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64))
+    return distinct_hashes(list(shingle_hashes(text, shingle)))
 
 
 def set_id(found: np.ndarray) -> int:
@@ -84,22 +88,38 @@ def sketches(least: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, bands, sketch, n): one row for every row of ``docs``; a text without words has no bands."""
+    """(doc_id, text_hash, set_id, fp, bands, sketch, n): one row for every row of ``docs``; a text without words has no bands.
+
+    ``fp`` is the SimHash of the shingles, repeats included, so texts of one set may have several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, least = [], [], np.zeros((batch.num_rows, BANDS * ROWS), np.uint32)
+            names, prints, sizes, least = [], [], [], np.zeros((batch.num_rows, BANDS * ROWS), np.uint32)
             some = np.zeros(batch.num_rows, bool)
             for i, text in enumerate(batch.column(1)):
-                found = shingles(text.as_py())
+                blocks = list(shingle_hashes(text.as_py(), SHINGLE))
+                found = distinct_hashes(blocks)
                 names.append(set_id(found))
+                prints.append(majority(blocks))
                 sizes.append(len(found))
                 if len(found):
                     some[i], least[i] = True, minima(found)
             keys = [k.tobytes() if s else None for k, s in zip(band_keys(least), some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches(least), pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "text_hash", "set_id", "bands", "sketch", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches(least), pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "text_hash", "set_id", "fp", "bands", "sketch", "n"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, set_id long, fp long, bands binary, sketch long, n long")
+
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, set_id long, bands binary, sketch long, n long")
+def _simhash_links(rows: DataFrame, max_run: int) -> DataFrame:
+    """(a, b) set ids that join what op6's operator links, from (set_id, fp, bands): sets of one fingerprint, and of two that differ in few bits."""
+    prints = materialise(rows.where("bands is not null").select("fp", "set_id").distinct(), "prints")
+    hubs = materialise(prints.groupBy("fp").agg(F.min("set_id").alias("hub")), "hubs")
+    of = small_or_shuffled(hubs)
+    alike = prints.join(of, "fp").where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+    pairs = simhash.links(hubs.select("fp"), max_run)
+    pairs = pairs.join(of.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    return alike.unionByName(pairs.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _bucketed(max_run: int):
@@ -253,7 +273,8 @@ def near_copies(docs: DataFrame, max_run: int = 16384, max_shingles: int = MAX_S
             yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "sketch"])
 
     keyed = distinct.where("bands is not null").select("set_id", "bands", "sketch").mapInArrow(emit, "key long, set_id long, sketch long")
-    near = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucketed(max_run), "a long, b long"), "candidates")
+    buckets = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucketed(max_run), "a long, b long")
+    near = materialise(_simhash_links(rows, max_run).unionByName(buckets), "candidates")
     groups = components(near)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set_id")
     groups = materialise(distinct.join(members, "set_id").select("set_id", "root", "least_id", "n"), "groups")

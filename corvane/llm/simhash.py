@@ -22,7 +22,7 @@ only if they share one).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +39,30 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Signed 64-bit SimHash of a whole text; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a whole text, repeats included, in blocks; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    set_bits = np.zeros(64, dtype=np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for lo in range(0, n, BLOCK):
         part = words[lo : min(lo + BLOCK, n) + shingle - 1]
         columns = [part[k:] for k in range(shingle)]
         grams = list(map(b" ".join, zip(*columns, strict=False))) or [b" ".join(part)]
-        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+        yield np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit word of the bits that more than half of the hashes have; 0 without hashes."""
+    set_bits, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int64)
-    majority = (set_bits * 2 > n).astype(np.uint8)
-    return int(np.packbits(majority, bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits((set_bits * 2 > n).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Signed 64-bit SimHash of a whole text; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from corvane.llm import minhash
+from corvane.llm import minhash, simhash
 
 
 def brute(texts):
@@ -79,3 +79,23 @@ def test_each_component_keeps_one_row_whatever_its_ids(spark):
     kept = sorted(tuple(r) for r in minhash.representatives(df).where("doc_id is not null").collect())
     assert kept == sorted([(1, a, "x"), (5, b, "x"), (5, c, "x")])
     assert minhash.representatives(df).where("doc_id is null").count() == 1
+
+
+def test_stage_goes_through_the_simhash_operator(spark, monkeypatch):
+    """Without MinHash candidates the operator's links are found all the same, and each is decided on the whole sets."""
+
+    def nothing(max_run):
+        def run(batches):
+            for batch in batches:
+                yield batch.slice(0, 0).select(["set_id", "sketch"]).rename_columns(["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(minhash, "_bucketed", nothing)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), "other words", " ".join(base[:-1]), " ".join(base[1:]), "w " * 9, "w " * 8, "W " * 9, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for a in (2, 3):  # 0 bits and 1 bit apart
+        assert ((simhash.fingerprint(texts[0], minhash.SHINGLE) ^ simhash.fingerprint(texts[a], minhash.SHINGLE)) & (2**64 - 1)).bit_count() <= simhash.TAU
+    kept = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute(texts))) == [0, 1, 4, 7]
