@@ -115,7 +115,7 @@ def _simhash_links(rows: DataFrame, max_run: int) -> DataFrame:
     """(a, b) set ids that join what op6's operator links, from (set_id, fp, bands): sets of one fingerprint, and of two that differ in few bits."""
     prints = materialise(rows.where("bands is not null").select("fp", "set_id").distinct(), "prints")
     hubs = materialise(prints.groupBy("fp").agg(F.min("set_id").alias("hub")), "hubs")
-    of = small_or_shuffled(hubs)
+    of = hubs.hint("merge")  # as many rows as fingerprints, for few links
     alike = prints.join(of, "fp").where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
     pairs = simhash.links(hubs.select("fp"), max_run)
     pairs = pairs.join(of.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
