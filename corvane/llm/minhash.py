@@ -123,8 +123,9 @@ def _simhash_links(rows: DataFrame, max_run: int) -> DataFrame:
 
 
 def _bucketed(max_run: int):
-    """Search sorted (key, set_id, sketch) rows bucket by bucket; emits (a, b) that join candidates into groups.
+    """Search (key, set_id, sketch) rows, sorted by key and set_id, bucket by bucket; emits (a, b) that join candidates into groups.
 
+    Each search starts from the least set, so buckets of the same sets give the same pairs, whichever tasks they are in.
     A bucket over ``max_run`` is joined whole: that only leaves more to compare.
     """
 
@@ -273,7 +274,7 @@ def near_copies(docs: DataFrame, max_run: int = 16384, max_shingles: int = MAX_S
             yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "sketch"])
 
     keyed = distinct.where("bands is not null").select("set_id", "bands", "sketch").mapInArrow(emit, "key long, set_id long, sketch long")
-    buckets = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucketed(max_run), "a long, b long")
+    buckets = keyed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_bucketed(max_run), "a long, b long")
     near = materialise(_simhash_links(rows, max_run).unionByName(buckets), "candidates")
     groups = components(near)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set_id")

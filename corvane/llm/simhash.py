@@ -283,15 +283,17 @@ def components(edges: DataFrame) -> DataFrame:
     of neighbours is spread like all other rows. Beyond that size the join's
     skewed partitions are split at run time. Edges never become more, and each
     round is written to the shared folder, so lineage stays one round deep.
+    Several tasks may find the same edge, and many edges move to the same two
+    nodes: each is kept once, or every round would read the repeats again.
     """
-    now = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y")
+    now = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
     now = materialise(now, "cc")
     while True:
         near = materialise(now.groupBy(F.col("x").alias("y")).agg(F.min("y").alias("m")), "least")
         jumped = now.select("x", "y").join(small_or_shuffled(near), "y", "left").select("x", F.coalesce("m", "y").alias("y"), F.col("m").isNotNull().alias("changed"))
         least = materialise(jumped.groupBy("x").agg(F.min("y").alias("m"), F.max("changed").alias("changed")), "least")
-        moved = jumped.select("x", "y").join(small_or_shuffled(least.select("x", "m")), "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"), F.lit(True).alias("changed"))
-        new = materialise(least.select("x", F.col("m").alias("y"), "changed").unionByName(moved), "cc")
+        moved = jumped.select("x", "y").join(small_or_shuffled(least.select("x", "m")), "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        new = materialise(least.select("x", F.col("m").alias("y"), "changed").unionByName(moved.withColumn("changed", F.lit(True))), "cc")
         discard(now, near, least)
         now = new
         if not now.agg(F.max("changed")).first()[0]:

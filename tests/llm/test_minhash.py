@@ -99,3 +99,29 @@ def test_stage_goes_through_the_simhash_operator(spark, monkeypatch):
         assert ((simhash.fingerprint(texts[0], minhash.SHINGLE) ^ simhash.fingerprint(texts[a], minhash.SHINGLE)) & (2**64 - 1)).bit_count() <= simhash.TAU
     kept = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(brute(texts))) == [0, 1, 4, 7]
+
+
+def test_copies_in_many_tasks_give_few_edges(spark, monkeypatch):
+    """Each band's bucket of a group may be in a task of its own; all start from the least set, so most find the same pairs."""
+    sizes, write = [], simhash.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "cc":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join([*base[: 5 * i], f"x{i}", *base[5 * i + 1 :]]) for i in range(100)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = minhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.component_id for r in found} == {0} and sorted(r.doc_id for r in found) == list(range(100))
+    assert sum(sizes) < 12 * len(texts), sizes

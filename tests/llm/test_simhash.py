@@ -105,3 +105,23 @@ def test_runs_divided_by_masks_equal_brute_force(spark, max_run):
     for fp, c in zip(fps, brute(fps), strict=True):
         groups.setdefault(c, set()).add(roots.get(fp, fp))
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups) < len(fps)
+
+
+def test_rounds_keep_each_edge_once(spark, monkeypatch):
+    """A group that many tasks find, by repeated edges and by many hubs, is read as about one edge for each node in every round."""
+    sizes, write = [], simhash.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "cc":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    same = [(i, 0) for i in range(1, 41)] * 32
+    met = [(100 + h, 200 + i) for h in range(20) for i in range(40)]
+    for edges, nodes, first in ((same, {*range(41)}, 40), (met, {*range(100, 120), *range(200, 240)}, 800)):
+        sizes.clear()
+        roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert roots == {x: min(nodes) for x in nodes if x != min(nodes)}
+        assert sizes[0] == first and max(sizes[1:]) < 2 * len(nodes)
